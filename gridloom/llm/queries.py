@@ -6,20 +6,89 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import public_tokenizers
+
+from gridloom.llm import url_graph
 from gridloom.llm.exact_dedup import exact_dedup
 from gridloom.llm.mixing import mix_sources
+from gridloom.llm.token_count import count_tokens
+from gridloom.llm.url_graph import judge_urls
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op8_url_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def url_graph_sql(rounds: int = url_graph.ROUNDS, threshold: float = 1.0) -> str:
+    """The same rules, host graph and integer masses in SQL, one CTE for each round."""
+    steps = ",\n".join(
+        f"""
+        r{i} AS (
+            SELECT kind, node, sum(seed)::BIGINT AS seed, ((15 * sum(seed) + 85 * sum(sent)) // 100)::BIGINT AS mass
+            FROM (SELECT kind, node, seed, 0::BIGINT AS sent FROM seeds
+                  UNION ALL
+                  SELECT e.kind, e.b, 0, s.mass // e.degree FROM r{i - 1} s JOIN steps e ON s.kind = e.kind AND s.node = e.a)
+            GROUP BY kind, node)"""
+        for i in range(1, rounds + 1)
+    )
+    return rf"""
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS html,
+                   CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        n AS (
+            SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+        u AS (
+            SELECT *, CASE
+                WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/7') THEN 'example.com/en/7'
+                WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/de/8') THEN 'example.net/de/8'
+                WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/de/') THEN 'net/de/'
+                WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/es/') THEN 'org/es/'
+                WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/en/') THEN 'com/en/' END AS rule FROM n),
+        v AS (SELECT *, CASE WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS ruled FROM u),
+        h AS (SELECT host, count(*) AS pages, count(*) FILTER (ruled = 'allow') AS allowed, count(*) FILTER (ruled = 'block') AS blocked
+              FROM v WHERE host <> '' GROUP BY host),
+        seeds AS (
+            SELECT 't' AS kind, host AS node, (({url_graph.MASS} // (SELECT greatest(1, sum(allowed)) FROM h)) * allowed)::BIGINT AS seed FROM h
+            UNION ALL
+            SELECT 'd', host, (({url_graph.MASS} // (SELECT greatest(1, sum(blocked)) FROM h)) * blocked)::BIGINT FROM h),
+        raw AS (
+            SELECT host AS src, translate(unnest(regexp_extract_all(html, $re${url_graph.LINK}$re$, 1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst
+            FROM v WHERE host <> ''
+            UNION ALL
+            SELECT host, host FROM v WHERE host <> '' AND regexp_matches(html, $re$(?i)\bhref\s*=\s*["']?\s*(?:/[^/]|[^"'\s<>:/]+["'\s>/])$re$)),
+        edges AS (SELECT DISTINCT src, dst FROM raw WHERE dst IN (SELECT host FROM h)),
+        both_ways AS (SELECT 't' AS kind, src AS a, dst AS b FROM edges UNION ALL SELECT 'd', dst, src FROM edges),
+        steps AS (SELECT *, count(*) OVER (PARTITION BY kind, a) AS degree FROM both_ways),
+        r0 AS (SELECT kind, node, seed, seed AS mass FROM seeds),
+        {steps},
+        m AS (SELECT node, sum(mass) FILTER (kind = 't') AS trust, sum(mass) FILTER (kind = 'd') AS distrust FROM r{rounds} GROUP BY node),
+        sc AS (
+            SELECT host, trust::DOUBLE / {float(url_graph.MASS)}::DOUBLE * (SELECT sum(pages) FROM h)::DOUBLE / pages AS trust,
+                   distrust::DOUBLE / {float(url_graph.MASS)}::DOUBLE * (SELECT sum(pages) FROM h)::DOUBLE / pages AS distrust
+            FROM h JOIN m ON h.host = m.node)
+        SELECT page_id, v.host, path, rule,
+               coalesce(ruled, CASE WHEN distrust - trust > {threshold} THEN 'block' ELSE 'allow' END) AS verdict, trust, distrust
+        FROM v LEFT JOIN sc ON v.host = sc.host
+    """
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_source_mix": op7_source_mix,
+    "op8_url_graph": op8_url_graph,
+    "op9_token_counts": op9_token_counts,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
@@ -48,6 +117,7 @@ SQL: dict[str, str] = {
                     ((budget // source_size) * size + greatest(0, least(size, budget % source_size - ahead))) END::BIGINT AS taken
         FROM b
     """,
+    "op8_url_graph": url_graph_sql(),
     "op10_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY text) AS keep_id,

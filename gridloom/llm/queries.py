@@ -11,10 +11,15 @@ import public_tokenizers
 from gridloom.llm import url_graph
 from gridloom.llm.exact_dedup import exact_dedup
 from gridloom.llm.mixing import mix_sources
+from gridloom.llm.ngram_join import ngram_join
 from gridloom.llm.token_count import count_tokens
 from gridloom.llm.url_graph import judge_urls
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -86,6 +91,7 @@ def url_graph_sql(rounds: int = url_graph.ROUNDS, threshold: float = 1.0) -> str
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_ngram_join": op6_ngram_join,
     "op7_source_mix": op7_source_mix,
     "op8_url_graph": op8_url_graph,
     "op9_token_counts": op9_token_counts,
@@ -93,6 +99,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op6_ngram_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+            FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS shingle
+            FROM (SELECT doc_id, words, unnest(range(1, greatest(2, len(words) - 3))) AS i FROM w WHERE len(words) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+        r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+        SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.b) AS component_id
+        FROM documents d JOIN r ON r.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
+    """,
     "op7_source_mix": r"""
         WITH d AS (
             SELECT doc_id, source,

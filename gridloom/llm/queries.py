@@ -10,12 +10,22 @@ import public_tokenizers
 
 from gridloom.llm import url_graph
 from gridloom.llm.exact_dedup import exact_dedup
+from gridloom.llm.materialise import materialise, new_dir
 from gridloom.llm.mixing import mix_sources
 from gridloom.llm.ngram_join import ngram_join
+from gridloom.llm.packing import pack_documents
 from gridloom.llm.token_count import count_tokens
 from gridloom.llm.url_graph import judge_urls
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialise(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"), new_dir(spark))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -91,6 +101,8 @@ def url_graph_sql(rounds: int = url_graph.ROUNDS, threshold: float = 1.0) -> str
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_training_order": op3_training_order,
     "op6_ngram_join": op6_ngram_join,
     "op7_source_mix": op7_source_mix,
     "op8_url_graph": op8_url_graph,

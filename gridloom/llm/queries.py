@@ -15,6 +15,7 @@ from gridloom.llm.mixing import mix_sources
 from gridloom.llm.ngram_join import ngram_join
 from gridloom.llm.packing import pack_documents
 from gridloom.llm.token_count import count_tokens
+from gridloom.llm.topk import top_k
 from gridloom.llm.url_graph import judge_urls
 
 
@@ -26,6 +27,10 @@ def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"), new_dir(spark))
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -103,6 +108,7 @@ def url_graph_sql(rounds: int = url_graph.ROUNDS, threshold: float = 1.0) -> str
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_training_order": op3_training_order,
+    "op4_exact_top_k": op4_exact_top_k,
     "op6_ngram_join": op6_ngram_join,
     "op7_source_mix": op7_source_mix,
     "op8_url_graph": op8_url_graph,
@@ -111,6 +117,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op4_exact_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
+    """,
     "op6_ngram_join": r"""
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words

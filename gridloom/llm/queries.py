@@ -10,6 +10,7 @@ import public_tokenizers
 
 from gridloom.llm import url_graph
 from gridloom.llm.exact_dedup import exact_dedup
+from gridloom.llm.langid import identify
 from gridloom.llm.materialise import materialise, new_dir
 from gridloom.llm.mixing import mix_sources
 from gridloom.llm.ngram_join import ngram_join
@@ -31,6 +32,10 @@ def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -109,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_training_order": op3_training_order,
     "op4_exact_top_k": op4_exact_top_k,
+    "op5_language_id": op5_language_id,
     "op6_ngram_join": op6_ngram_join,
     "op7_source_mix": op7_source_mix,
     "op8_url_graph": op8_url_graph,

@@ -15,11 +15,16 @@ from gridloom.llm.materialise import materialise, new_dir
 from gridloom.llm.mixing import mix_sources
 from gridloom.llm.ngram_join import ngram_join
 from gridloom.llm.packing import pack_documents
+from gridloom.llm.pii import find_pii
 from gridloom.llm.token_count import count_tokens
 from gridloom.llm.topk import top_k
 from gridloom.llm.url_graph import judge_urls
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -111,6 +116,7 @@ def url_graph_sql(rounds: int = url_graph.ROUNDS, threshold: float = 1.0) -> str
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_training_order": op3_training_order,
     "op4_exact_top_k": op4_exact_top_k,

@@ -223,6 +223,33 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_l
     return Identifier(kept, models, np.array([centres.get(k, highest) for k in kept]), np.array([1.4826 * spreads.get(k, 0.0) for k in kept]))
 
 
+VERDICT = "lang_pred string, score double, cross_entropy double, accepted boolean"
+
+
+def verdict_of(docs: DataFrame, model: Identifier | None):
+    """A column function of the text: the struct ``VERDICT``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf(VERDICT)
+    def verdict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = shared.value
+        for texts in batches:
+            n = len(texts)
+            pred, score, lowest, accepted = np.full(n, "und", object), np.zeros(n), np.full(n, np.nan), np.zeros(n, bool)
+            if own is not None and n:
+                entropy, length = cross_entropies(own.models, texts.tolist())
+                best = entropy.argmin(axis=1)
+                low = entropy[np.arange(n), best]
+                odds = np.exp(-(entropy - low[:, None]) * np.minimum(length, 64)[:, None])
+                real = length > 0
+                pred[real] = np.array(own.languages, object)[best[real]]
+                score[real], lowest[real] = (1 / odds.sum(axis=1))[real], low[real]
+                accepted = real & (low <= own.limits(best, length))
+            yield pd.DataFrame({"lang_pred": pred, "score": score, "cross_entropy": lowest, "accepted": accepted})
+
+    return verdict
+
+
 def identify(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -242,24 +269,15 @@ def identify(
       out; an empty table gives no rows; other columns are ignored.
     """
     model = train(docs, id_col, text_col, lang_col, docs_per_language, calibration_docs)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(fold(id_col) == 0, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(fold(id_col) == 0, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
+    judged = rows.select("id", "held_out", verdict_of(docs, model)("text").alias("v"))
+    return judged.select(
+        F.col("id").alias(id_col), "held_out", "v.lang_pred", "v.score", F.nanvl("v.cross_entropy", F.lit(None)).alias("cross_entropy"), "v.accepted"
+    )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = shared.value
-        for batch in batches:
-            n = len(batch)
-            pred, score, lowest, accepted = np.full(n, "und", object), np.zeros(n), np.full(n, np.nan), np.zeros(n, bool)
-            if own is not None and n:
-                entropy, length = cross_entropies(own.models, batch["text"].tolist())
-                best = entropy.argmin(axis=1)
-                low = entropy[np.arange(n), best]
-                odds = np.exp(-(entropy - low[:, None]) * np.minimum(length, 64)[:, None])
-                real = length > 0
-                pred[real] = np.array(own.languages, object)[best[real]]
-                score[real], lowest[real] = (1 / odds.sum(axis=1))[real], low[real]
-                accepted = real & (low <= own.limits(best, length))
-            yield pd.DataFrame({"id": batch["id"], "held_out": batch["held_out"], "lang_pred": pred, "score": score, "cross_entropy": lowest, "accepted": accepted})
 
-    judged = rows.mapInPandas(run, "id long, held_out boolean, lang_pred string, score double, cross_entropy double, accepted boolean")
-    return judged.withColumn("cross_entropy", F.nanvl("cross_entropy", F.lit(None))).withColumnRenamed("id", id_col)
+def accepted_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 2000, calibration_docs: int = 500) -> DataFrame:
+    """The rows, with all their columns, whose language is accepted."""
+    model = train(docs, id_col, text_col, lang_col, docs_per_language, calibration_docs)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), verdict_of(docs, model)(docs[text_col]).alias("_v"))
+    return rows.filter("_v.accepted").select("_row.*")

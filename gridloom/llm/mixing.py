@@ -120,3 +120,31 @@ def mix_sources(
         F.col("target").cast("double").alias("target"),
         (epochs * F.col("size") + cut).cast("long").alias("taken"),
     )
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str | None = "n_chars", **options) -> DataFrame:
+    """The mix itself: each row as often as it is taken, with all its columns.
+
+    A row at its source's cut ends with the words up to the budget; ``length_col``, if
+    the table has it, follows the cut text. Rows that repeat id and text are one.
+    """
+    key = F.concat_ws(":", F.coalesce(docs[id_col].cast("string"), F.lit("")), F.sha2(F.coalesce(docs[text_col], F.lit("")).cast("binary"), 256))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key.alias("key")).dropDuplicates(["key"])
+    plan = mix_sources(docs.select(key.alias("key"), docs[text_col].alias("text"), docs[source_col].alias("source")).dropDuplicates(["key"]), "key", "text", "source", **options)
+    plan = plan.filter("taken > 0").select(F.col("key").alias("p_key"), "size", "taken")
+    part = F.expr("taken % size")
+    copies = rows.join(plan, F.col("key") == F.col("p_key")).select(
+        "row", part.alias("part"), F.explode(F.concat(F.expr("array_repeat(true, cast(taken div size as int))"), F.expr("array_repeat(false, cast(taken % size > 0 as int))"))).alias("whole")
+    )
+    words = F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("part").cast("string"), F.lit("}+"))
+    head = F.call_function("regexp_extract", F.col("row")[text_col], words, F.lit(0))
+    text = F.when(F.col("whole"), F.col("row")[text_col]).otherwise(head)
+    columns = []
+    for c in docs.columns:
+        if c == text_col:
+            columns.append(text.alias(c))
+        elif c == length_col:
+            columns.append(F.when(F.col("whole"), F.col("row")[c]).otherwise(F.length(text)).cast(docs.schema[c].dataType).alias(c))
+        else:
+            columns.append(F.col("row")[c].alias(c))
+    return copies.select(*columns)

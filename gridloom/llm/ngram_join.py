@@ -89,7 +89,7 @@ def profile(docs: DataFrame, width: int) -> DataFrame:
                 sig.append(digest(own) if len(own) else None)
                 held.append(own)
                 size += len(own)
-                if size > 1_000_000:
+                if size > 500_000:
                     count(table, held)
                     held, size = [], 0
             count(table, held)
@@ -129,6 +129,9 @@ def prefixes(docs: DataFrame, width: int, percent: int, sketch, hot: int) -> Dat
                 first = first[common[first] > 1]  # met once: no other set has it
                 if len(first):
                     out.append((sig, len(own), own[first].view(np.int64), (1 + common[first] // hot).astype(np.int32)))
+                if len(out) >= 1000:
+                    yield pd.DataFrame(out, columns=["sig", "n", "shingles", "parts"])
+                    out = []
             yield pd.DataFrame(out, columns=["sig", "n", "shingles", "parts"])
 
     return docs.mapInPandas(run, "sig binary, n long, shingles array<long>, parts array<int>")
@@ -289,6 +292,9 @@ def ngram_join(
                         seen.clear()
                     seen.add(sig)
                     out.append((sig, own.tobytes()))
+                if len(out) >= 1000:
+                    yield pd.DataFrame(out, columns=["sig", "shingles"])
+                    out = []
             yield pd.DataFrame(out, columns=["sig", "shingles"])
 
     sets = rows.mapInPandas(grouped_sets, "sig binary, shingles binary")
@@ -320,3 +326,11 @@ def ngram_join(
     return nodes.join(answer, F.col("sig") == F.col("s"), "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")
     )
+
+
+def distinct_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows whose id is their component's smallest, with all their columns."""
+    joined = ngram_join(docs, id_col, text_col, **options)
+    stay = joined.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_stay")).distinct()
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[id_col].alias("_id"))
+    return rows.join(stay, F.col("_id").eqNullSafe(F.col("_stay")), "left_semi").select("_row.*")

@@ -4,20 +4,28 @@ The vocabulary's splitting pattern never crosses white space and its normaliser
 single characters, so a text's ids are the ids of its words in a row. Words met before
 are looked up. A new word of plain Latin letters is split by the file's own pattern and
 its parts go straight to the library's merge model; any other word, and every word of a
-file with other rules, takes the library's full path. Only plain spaces, tabs and line
-ends cut; rarer white space stays inside a "word" for the library to handle.
+file with other rules, takes the library's full path.
 """
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 
 
+def cut(text: str) -> list[str]:
+    """Words between white space; the four separators that are none to the pattern stay."""
+    if any(map(text.__contains__, "\x1c\x1d\x1e\x1f")):
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+    return text.split()
+
+
 class PartIds(dict):
     """pretoken -> ids, by the merge model alone."""
 
@@ -29,14 +37,14 @@ class PartIds(dict):
 
     def __missing__(self, part: str) -> bytes:
         mapped = part if part.isascii() and part.isalnum() else "".join(map(self.byte.__getitem__, part.encode()))
-        self[part] = ids = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+        self[part] = ids = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
         return ids
 
 
 class WordIds(dict):
     """word -> its ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, most: int = 600_000) -> None:
+    def __init__(self, path: str, most: int = 1_500_000) -> None:
         import regex
         from tokenizers import Tokenizer
 
@@ -47,21 +55,26 @@ class WordIds(dict):
         split = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
         plain = steps == ["NFC", "Replace", "Lowercase"] and [s.get("type") for s in split] == ["Split", "ByteLevel"]
         self.pattern = regex.compile(split[0]["pattern"]["Regex"]) if plain else None
-        self.special = tuple(t["content"][:2] for t in spec["added_tokens"])
+        self.special = {t["content"][:2] for t in spec["added_tokens"]}
         self.parts = PartIds(self.encoder.model)
 
     def learn(self, words: set[str]) -> None:
-        rest = []
+        rest, parts = [], self.parts
         for word in words:
-            if self.pattern and max(word, default="") < "ɐ" and not any(s in word for s in self.special) and unicodedata.is_normalized("NFC", word):
-                self[word] = b"".join(map(self.parts.__getitem__, self.pattern.findall(word.lower())))
+            if not self.pattern or any(map(word.__contains__, self.special)):
+                rest.append(word)
+            elif word.isascii():
+                low = word.lower()
+                self[word] = parts[low] if low.isalpha() else b"".join(map(parts.__getitem__, self.pattern.findall(low)))
+            elif max(word) < "ɐ" and unicodedata.is_normalized("NFC", word):
+                self[word] = b"".join(map(parts.__getitem__, self.pattern.findall(word.lower())))
             else:
                 rest.append(word)
         for word, got in zip(rest, self.encoder.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self[word] = np.array(got.ids, "<u4").tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        split = [cut(t) for t in texts]
         if len(self) + len(self.parts) > self.most:  # a cache, rebuilt as words come
             self.clear()
             self.parts.clear()
@@ -76,6 +89,7 @@ def word_ids(path: str, texts: list[str | None], most_chars: int = 1_000_000) ->
     """Yields the id bytes of each text, about a million characters at a time."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if path not in _encoders:
+        gc.set_threshold(500_000, 50, 100)  # millions of plain strings, no cycles
         _encoders[path] = WordIds(path)
     own, held, size = _encoders[path], [], 0
     for text in texts:

@@ -31,34 +31,40 @@ def radius_pairs(points: DataFrame, radius: float) -> DataFrame:
     )
 
 
-def nearest(points: DataFrame, size: float, rounds: int = 12) -> DataFrame:
+def nearest(points: DataFrame, size: float, rounds: int = 6) -> DataFrame:
     """(id, label, same, other): squared distance to the nearest of the same label and of
     any other label, null if there is none.
 
-    Expanding rings of buckets: a point is settled once its best distance lies inside
-    the ring searched; only unsettled points go on with doubled buckets, so dense areas
-    never meet all pairs. What a few doublings leave open is searched in full.
+    Expanding rings of buckets: a point is settled once its best distances lie inside
+    the ring searched; only unsettled points go on with buckets four times as wide, so
+    dense areas never meet all pairs. The last ring spans all points, so what is still
+    open then is searched in full. A point alone with its label does not wait for one.
     """
-    todo, out = points, None
+    extent = points.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.count_distinct("label")).first()
+    reach, others = max(extent[0] or 0.0, extent[1] or 0.0) + size, (extent[2] or 0) > 1
+    alone = points.groupBy(F.col("label").alias("l")).agg((F.count(F.lit(1)) == 1).alias("alone"))
+    todo, out, side = points.join(alone, F.col("label") == F.col("l")).select("id", "label", "x", "y", "alone"), None, size
     for i in range(rounds + 1):
-        side = size * 2**i
+        side = reach if i == rounds else min(side, reach)
         own = bucketed(points, side).select(F.col("id").alias("c"), F.col("label").alias("c_label"), F.col("x").alias("cx"), F.col("y").alias("cy"), "bx", "by")
         ring = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
         sent = bucketed(todo, side).select("id", "label", "x", "y", "bx", "by", F.explode(ring).alias("o")).select(
             "id", "label", "x", "y", (F.col("bx") + F.col("o.dx")).alias("bx"), (F.col("by") + F.col("o.dy")).alias("by")
         )
         dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
-        met = sent.join(own, ["bx", "by"], "left").withColumn("d2", dx * dx + dy * dy).filter("c IS NULL OR id <> c")
+        met = sent.join(own, ["bx", "by"]).filter("id <> c").withColumn("d2", dx * dx + dy * dy)
         best = met.groupBy("id").agg(F.min(F.when(F.col("label") == F.col("c_label"), F.col("d2"))).alias("same"), F.min(F.when(F.col("label") != F.col("c_label"), F.col("d2"))).alias("other"))
-        best = todo.select("id", "label", "x", "y").join(best, "id", "left")
-        settled = (F.coalesce("same", F.lit(float("inf"))) <= side * side) & (F.coalesce("other", F.lit(float("inf"))) <= side * side)
-        if i == rounds:
+        best = todo.join(best, "id", "left").persist()  # used twice; also cuts the plan
+        inside = lambda c: F.coalesce(c, F.lit(float("inf"))) <= side * side  # noqa: E731, B023
+        settled = (F.col("alone") | inside("same")) & (inside("other") if others else F.lit(True))
+        if side >= reach:
             settled = F.lit(True)
         done = best.filter(settled).select("id", "label", "same", "other")
         out = done if out is None else out.unionAll(done)
-        todo = best.filter(~settled).select("id", "label", "x", "y")
-        if i < rounds and (i == 0 or i % 2) and todo.isEmpty():
+        todo = best.filter(~settled).select("id", "label", "x", "y", "alone")
+        if side >= reach or todo.isEmpty():
             break
+        side *= 4
     return out
 
 

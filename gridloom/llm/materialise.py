@@ -1,7 +1,7 @@
 """Training-order materialisation of token sequences into fixed-stride shards.
 
-Documents are tokenised once and their sequences (up to ``stride`` tokens each) stored
-compressed. A stored row's dense number is its file's offset, from per-file counts, plus
+Documents are tokenised once; each task's token stream is cut into sequences of
+``stride`` tokens, the task's last one possibly shorter, which are stored compressed. A stored row's dense number is its file's offset, from per-file counts, plus
 its row index, both fixed once the files exist. A keyed Feistel permutation over the next
 power of four, walked until it lands below the number of sequences, turns that number
 into the sequence's global slot: a bijection, so slots are dense and need no sort to be
@@ -51,26 +51,56 @@ def feistel_slots(numbers: np.ndarray, total: int, key: int, rounds: int = 6) ->
     return out.astype(np.int64)
 
 
+PIECES = "array<struct<doc_id:bigint,start:bigint,offset:int,length:int>>"
+
+
 def sequences(docs: DataFrame, vocabulary: str, stride: int, end_id: int) -> DataFrame:
-    """(id, piece, length, ids_crc32, packed): sequences as zstd-packed 16- or 32-bit ids."""
+    """(length, ids_crc32, pieces, packed): zstd-packed 16-bit ids and what they are of."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
 
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=3)
         tail = np.array([end_id], "<u4").tobytes()
+        parts: list[bytes] = []
+        pieces: list[dict] = []
+        held = 0
+        out: list[tuple] = []
+
+        def close() -> None:
+            nonlocal parts, pieces, held
+            ids = b"".join(parts)
+            values = np.frombuffer(ids, "<u4")
+            if len(values) and values.max() > 0xFFFF:
+                raise ValueError("token ids above 65535 do not fit the shards' 16 bits")
+            out.append((held, zlib.crc32(ids), pieces, press.compress(values.astype("<u2").tobytes())))
+            parts, pieces, held = [], [], 0
+
+        def table() -> pd.DataFrame:
+            nonlocal out
+            frame = pd.DataFrame(out, columns=["length", "ids_crc32", "pieces", "packed"])
+            out = []
+            return frame
+
         for batch in batches:
-            ids, out = batch["id"].array, []
-            for k, data in enumerate(word_ids(vocabulary, batch["text"].tolist())):
+            ids = batch["id"].astype(object).where(batch["id"].notna(), None).tolist()
+            for doc_id, data in zip(ids, word_ids(vocabulary, batch["text"].tolist()), strict=True):
                 data += tail
-                for piece, at in enumerate(range(0, len(data), 4 * stride)):
-                    part = data[at : at + 4 * stride]
-                    out.append((k, piece, len(part) // 4, zlib.crc32(part), press.compress(np.frombuffer(part, "<u4").astype("<u2").tobytes())))
-            if out:
-                row, piece, length, crc, packed = zip(*out, strict=True)
-                yield pd.DataFrame({"id": ids[list(row)], "piece": np.array(piece, np.int32), "length": np.array(length, np.int32), "ids_crc32": crc, "packed": packed})
-
-    return docs.mapInPandas(run, "id long, piece int, length int, ids_crc32 long, packed binary")
+                total, at = len(data) // 4, 0
+                while at < total:
+                    n = min(stride - held, total - at)
+                    parts.append(data[4 * at : 4 * (at + n)])
+                    pieces.append({"doc_id": doc_id, "start": at, "offset": held, "length": n})
+                    held, at = held + n, at + n
+                    if held == stride:
+                        close()
+                if len(out) >= 1000:
+                    yield table()
+        if held:
+            close()
+        yield table()
+
+    return docs.mapInPandas(run, f"length int, ids_crc32 long, pieces {PIECES}, packed binary")
 
 
 def materialise(
@@ -79,18 +109,19 @@ def materialise(
     out_dir: str,
     id_col: str = "doc_id",
     text_col: str = "text",
-    stride: int = 512,
-    shard_slots: int = 16_384,
+    stride: int = 2048,
+    shard_slots: int = 4096,
     key: int = 20_240_501,
     end_id: int = 0,
 ) -> DataFrame:
     """Writes ``out_dir``/shard-NNNNNN.bin and returns the manifest, one row a sequence.
 
-    Rows: id, piece, length, ids_crc32, slot, shard, record. Record bytes: the length as
-    unsigned 16 bits, then ``stride`` unsigned 16-bit ids, zero-padded.
+    Rows: slot, shard, record, length, ids_crc32, pieces (doc_id, start in the document,
+    offset in the sequence, length). Record bytes: the length as unsigned 16 bits, then
+    ``stride`` unsigned 16-bit ids, zero-padded.
 
-    * null and empty texts are one sequence, the end id alone; rows that repeat an id
-      are sequences of their own; a null id stays null;
+    * null and empty texts give the end id alone; rows that repeat an id are pieces of
+      their own; a null id stays null;
     * an empty table writes no shard and gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -109,10 +140,10 @@ def materialise(
         return pd.Series(feistel_slots(number.to_numpy(), total, key))
 
     placed = (
-        stored.join(offsets, F.col("file") == F.col("f"))
+        stored.join(F.broadcast(offsets), F.col("file") == F.col("f"))  # a row per task that wrote
         .withColumn("slot", slot_of(F.col("offset") + F.col("row")))
         .withColumn("shard", F.expr(f"cast(slot div {shard_slots} as int)"))
-        .select("id", "piece", "length", "ids_crc32", "packed", "slot", "shard")
+        .select("length", "ids_crc32", "pieces", "packed", "slot", "shard")
     )
     shards = -(-total // shard_slots)
     ranged = placed.repartitionByRange(max(1, min(shards, 4 * fan_out(spark))), "shard").sortWithinPartitions("slot")
@@ -145,21 +176,27 @@ def materialise(
                 if len(shard):
                     sink.write(records[at : at + int(np.searchsorted(shard[at:], open_shard, "right"))].tobytes())
             batch["record"] = batch["slot"] % shard_slots
-            yield batch[["id", "piece", "length", "ids_crc32", "slot", "shard", "record"]]
+            yield batch[["slot", "shard", "record", "length", "ids_crc32", "pieces"]]
         close()
 
-    manifest = ranged.mapInPandas(write, "id long, piece int, length int, ids_crc32 long, slot long, shard int, record int")
+    manifest = ranged.mapInPandas(write, f"slot long, shard int, record int, length int, ids_crc32 long, pieces {PIECES}")
     written = f"{out_dir}/manifest"
     manifest.write.parquet(written)
     spark.createDataFrame([(json.dumps({"stride": stride, "shard_slots": shard_slots, "sequences": total, "key": key}),)], "value string").coalesce(1).write.text(f"{out_dir}/layout")
-    return spark.read.parquet(written).withColumnRenamed("id", id_col)
+    return spark.read.parquet(written)
+
+
+def document_places(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The manifest by document piece: where each run of a document's tokens stands."""
+    rows = manifest.select("slot", "shard", "record", "ids_crc32", F.explode("pieces").alias("p"))
+    return rows.select(F.col("p.doc_id").alias(id_col), F.col("p.start").alias("start"), F.col("p.length").alias("length"), "slot", "shard", "record", F.col("p.offset").alias("offset"), "ids_crc32")
 
 
 def new_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/gridloom/shards-{uuid.uuid4().hex}"
 
 
-def read_slots(out_dir: str, first: int, count: int, stride: int = 512, shard_slots: int = 16_384) -> Iterator[np.ndarray]:
+def read_slots(out_dir: str, first: int, count: int, stride: int = 2048, shard_slots: int = 4096) -> Iterator[np.ndarray]:
     """The ids of slots first, first + 1, ...: one seek per shard, then sequential reads."""
     from pyarrow import fs
 

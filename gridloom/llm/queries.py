@@ -11,7 +11,7 @@ import public_tokenizers
 from gridloom.llm import url_graph
 from gridloom.llm.exact_dedup import exact_dedup
 from gridloom.llm.langid import identify
-from gridloom.llm.materialise import materialise, new_dir
+from gridloom.llm.materialise import document_places, materialise, new_dir
 from gridloom.llm.mixing import mix_sources
 from gridloom.llm.ngram_join import ngram_join
 from gridloom.llm.packing import pack_documents
@@ -30,7 +30,8 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialise(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"), new_dir(spark))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return document_places(materialise(docs, public_tokenizers.path("word_bpe_49k.json"), new_dir(spark)))
 
 
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -254,3 +254,70 @@ SQL: dict[str, str] = {
     ),
 }
 SQL["findings_by_severity"] = f"SELECT severity, rule, count(*) AS n FROM ({SQL['findings_union']}) GROUP BY severity, rule"
+
+SQL |= {
+    "frac_below": cell("SELECT map, count(*) FILTER (h < 50) / count(*) AS below_50 FROM cell GROUP BY map"),
+    "edge_list_histogram": cell(
+        "SELECT map, (CASE WHEN h < 10 THEN 0 WHEN h < 25 THEN 1 WHEN h < 50 THEN 2 WHEN h < 100 THEN 3 ELSE 4 END)::INTEGER AS band, count(*) AS n FROM cell WHERE h BETWEEN 0 AND 400 GROUP BY ALL"
+    ),
+    "repeated_median": cell("SELECT map, quantile_cont(h, 0.5) AS median FROM (SELECT map, h, unnest(range(greatest(t, 1))) FROM cell WHERE t > 0) GROUP BY map"),
+    "style_split": cell(
+        "SELECT *, CASE WHEN rate < 0.25 THEN 'slope_driven' ELSE 'painted_box' END AS style FROM (SELECT map, count(*) FILTER (block) / count(*) AS rate FROM slope WHERE NOT water AND slope < 20 GROUP BY map)", SLOPE
+    ),
+    "control_lift": cell(
+        "SELECT map, avg(block::INT) FILTER (k = 0) AS rate, avg(block::INT) FILTER (k = 1) AS control, round(avg(block::INT) FILTER (k = 0) / avg(block::INT) FILTER (k = 1), 9) AS lift FROM (SELECT p.map, c.block, k FROM cell p, (VALUES (0, 0, 0), (6, 0, 1), (-6, 0, 1), (0, 6, 1), (0, -6, 1)) v(dx, dy, k) JOIN cell c ON c.map = p.map AND c.gx = p.gx + dx AND c.gy = p.gy + dy WHERE p.t = 7) GROUP BY map"
+    ),
+    "footprint_check": """
+        WITH i AS (SELECT l_partkey, count(*) AS n, quantile_cont(l_quantity, 0.5) AS q FROM lineitem GROUP BY 1 HAVING count(*) >= 3)
+        SELECT p_brand, count(*) AS ids, quantile_cont(q / p_size, 0.5) AS ratio FROM i JOIN part ON l_partkey = p_partkey GROUP BY p_brand""",
+    "server_compare": cell(
+        "SELECT map, count(*) AS cells, count(*) FILTER (server <> client) AS differ, max(server) AS most FROM (SELECT map, attr & 7 AS client, CASE WHEN h % 97 = 5 AND ox = 1 THEN 0 ELSE attr & 7 END AS server FROM cell, (VALUES (0), (1)) a(ox), (VALUES (0), (1)) b(oy)) GROUP BY map"
+    ),
+    "edge_bands": cell(
+        "SELECT map, side, coalesce(min(rank) FILTER (share < 0.5), 64)::INTEGER AS width FROM (SELECT map, 'west' AS side, gx AS rank, share FROM l UNION ALL SELECT map, 'east', 63 - gx, share FROM l) GROUP BY map, side",
+        "l AS (SELECT map, gx, count(*) FILTER (block) / count(*) AS share FROM cell GROUP BY map, gx)",
+    ),
+    "patch_scan": cell(
+        "SELECT map, px::INTEGER AS px, py::INTEGER AS py, n, relief, total::BIGINT AS total, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY map ORDER BY relief DESC, total DESC, px, py) AS rank FROM p) WHERE rank <= 2",
+        "p AS (SELECT map, x.i AS px, y.i AS py, count(*) AS n, max(h) - min(h) AS relief, sum(h) AS total FROM cell, (SELECT unnest(range(7)) AS i) x, (SELECT unnest(range(7)) AS i) y WHERE gx BETWEEN x.i * 8 AND x.i * 8 + 15 AND gy BETWEEN y.i * 8 AND y.i * 8 + 15 GROUP BY map, x.i, y.i)",
+    ),
+    "level_gaps": cell(
+        "SELECT map, grp::BIGINT AS grp, min(h) AS low, max(h) AS high, count(*) AS levels FROM (SELECT map, h, sum(new) OVER (PARTITION BY map ORDER BY h) AS grp FROM (SELECT map, h, coalesce((h - lag(h) OVER (PARTITION BY map ORDER BY h) > 10)::INT, 0) AS new FROM (SELECT DISTINCT map, h FROM cell))) GROUP BY map, grp"
+    ),
+    "even_samples": """
+        WITH r AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS i, count(*) OVER (PARTITION BY p_brand) AS n FROM part)
+        SELECT p_brand, p_partkey FROM r WHERE i % greatest(1, n // 8) = 0 AND i // greatest(1, n // 8) < 8""",
+    "palette_sets": cell(
+        "SELECT map, (SELECT coalesce(string_agg(i::VARCHAR, ',' ORDER BY i), '') FROM d WHERE i NOT IN (SELECT t FROM cell c WHERE c.map = m.map)) AS unused, (SELECT coalesce(string_agg(t::VARCHAR, ',' ORDER BY t), '') FROM (SELECT DISTINCT t FROM cell c WHERE c.map = m.map AND t > 0 AND t NOT IN (SELECT i FROM d))) AS undeclared, (SELECT count(*) FROM d WHERE i IN (SELECT t FROM cell c WHERE c.map = m.map))::INTEGER AS \"both\" FROM (SELECT DISTINCT map FROM cell) m",
+        "d AS (SELECT unnest([1, 2, 3, 5, 6, 9]) AS i)",
+    ),
+    "submerged_masks": cell("SELECT map, count(*) FILTER (least(h, e, s, se) < 40) AS lowest, count(*) FILTER (h < 40) AS corner FROM square WHERE se IS NOT NULL GROUP BY map", SLOPE),
+    "exposed_shore": cell(
+        "SELECT c.map, count(*) AS plane, count(*) FILTER (dry > 0) AS boundary, count(*) FILTER (bare > 0) AS exposed FROM (SELECT c.map, c.gx, c.gy, count(*) FILTER (NOT o.water) AS dry, count(*) FILTER (NOT o.water AND o.h < c.h) AS bare FROM cell c JOIN cell o ON c.map = o.map AND abs(c.gx - o.gx) + abs(c.gy - o.gy) = 1 WHERE c.water AND c.gx BETWEEN 1 AND 62 AND c.gy BETWEEN 1 AND 62 GROUP BY ALL) c GROUP BY c.map"
+    ),
+    "ring_profile": cell(
+        "SELECT map, ring, count(*) AS n, sum(h)::BIGINT AS total FROM (SELECT c.map, c.gx, c.gy, c.h, min(greatest(abs(s.gx - c.gx), abs(s.gy - c.gy)))::INTEGER AS ring FROM cell c JOIN cell s ON s.map = c.map AND s.h % 50 = 49 AND abs(s.gx - c.gx) <= 4 AND abs(s.gy - c.gy) <= 4 GROUP BY ALL) GROUP BY map, ring"
+    ),
+    "out_of_range_tiles": cell("SELECT map, CASE WHEN t > 6 THEN 'above_count' ELSE 'empty_slot' END AS kind, count(*) AS n FROM cell WHERE t > 6 OR t = 4 GROUP BY ALL"),
+    "region_filters": cell(
+        "SELECT map, count(*) FILTER ((gx - 32) * (gx - 32) + (gy - 32) * (gy - 32) <= 400) AS disc, count(*) FILTER (gx BETWEEN 8 AND 20 AND gy BETWEEN 8 AND 20) AS box, count(*) FILTER ((SELECT count(*) FROM e WHERE (y1 > gy + 0.5) <> (y2 > gy + 0.5) AND gx + 0.5 < (x2 - x1) * (gy + 0.5 - y1) / (y2 - y1)::DOUBLE + x1) % 2 = 1) AS polygon FROM cell GROUP BY map",
+        "e AS (SELECT * FROM (VALUES (5, 5, 50, 10), (50, 10, 40, 55), (40, 55, 10, 40), (10, 40, 5, 5)) v(x1, y1, x2, y2))",
+    ),
+    "deep_unflagged": cell("SELECT *, deep >= 100 AND 2 * flagged >= deep AND deep - flagged > 0.4 * deep AS finding FROM (SELECT map, count(*) AS deep, count(*) FILTER (water) AS flagged FROM cell WHERE h < 60 GROUP BY map)"),
+    "walkable_rock": cell("SELECT map, count(*) AS n, count(*) FILTER (NOT block) / count(*) AS walkable FROM slope WHERE slope >= 25 AND t >= 5 GROUP BY map", SLOPE),
+    "spawn_zone_audit": cell(
+        "SELECT CASE WHEN inside < 25 THEN 'outside' WHEN free < 0.6 * inside THEN 'blocked' ELSE 'fine' END AS finding, count(*) AS zones FROM (SELECT s_suppkey, count(block) AS inside, count(*) FILTER (NOT block) AS free FROM supplier LEFT JOIN cell ON map = 'A' AND abs(gx - (s_suppkey * 7) % 70) <= 2 AND abs(gy - (s_suppkey * 13) % 70) <= 2 GROUP BY s_suppkey) GROUP BY 1"
+    ),
+    "sector_blocks": cell(
+        "SELECT map, (u % 4)::INTEGER AS sx, (u // 4)::INTEGER AS sy, min(v)::INTEGER AS block FROM reach WHERE map IN (SELECT map FROM tie) GROUP BY map, u",
+        BORDER,
+        "tie AS (SELECT map, sy * 4 + sx AS a, CASE axis WHEN 'x' THEN sy * 4 + sx + 1 ELSE sy * 4 + sx + 4 END AS b FROM (SELECT map, axis, sx, sy, quantile_cont(d, 0.5) AS median FROM border GROUP BY ALL) WHERE median <= 60)",
+        "link AS (SELECT map, a, b FROM tie UNION SELECT map, b, a FROM tie)",
+        "reach AS (SELECT m.map, i AS u, i AS v FROM (SELECT DISTINCT map FROM cell) m, (SELECT unnest(range(16))::BIGINT AS i) UNION SELECT r.map, r.u, l.b FROM reach r JOIN link l ON r.map = l.map AND r.v = l.a)",
+        recursive=True,
+    ),
+    "filled_holes": cell(
+        "SELECT map, count(*) AS holes, sum(n)::BIGINT AS filled FROM (SELECT map, component, sum(n) AS n, max((a = 0 OR gy = 0 OR b = 63 OR gy = 63)::INT) AS e FROM comp GROUP BY map, component) WHERE e = 0 GROUP BY map",
+        COMPONENTS.replace("h % 3 <> 0", "h % 3 = 0"), recursive=True,
+    ),
+}

@@ -574,3 +574,215 @@ def fbm_terrain(spark, sf_dir):
         return pd.DataFrame({"map": name, "gx": x.ravel(), "gy": y.ravel(), "raw": np.round(z.ravel() * 65535).astype(np.int32)})
 
     return kernel(spark, sf_dir, run, "map string, gx int, gy int, raw int")
+
+
+@query
+def frac_below(spark, sf_dir):
+    """Share of cells in the bins wholly below a height."""
+    hist = aggregates.histogram(cells(spark, sf_dir), ["map"], F.col("h"), 0, 10, 60)
+    return hist.groupBy("map").agg((F.sum(F.when(F.col("bin") < 5, F.col("n")).otherwise(0)) / F.sum("n")).alias("below_50"))
+
+
+@query
+def edge_list_histogram(spark, sf_dir):
+    """Half-open ranges of a list of edges, the last one closed."""
+    edges = (0, 10, 25, 50, 100, 400)
+    band = F.lit(None).cast("int")
+    for i in range(len(edges) - 1):
+        top = (F.col("h") <= edges[i + 1]) if i == len(edges) - 2 else (F.col("h") < edges[i + 1])
+        band = F.when((F.col("h") >= edges[i]) & top, i).otherwise(band)
+    return cells(spark, sf_dir).groupBy("map", band.alias("band")).agg(F.count(F.lit(1)).alias("n")).filter("band IS NOT NULL")
+
+
+@query
+def repeated_median(spark, sf_dir):
+    """Median of the height, each value as often as its tile index, at least once."""
+    c = cells(spark, sf_dir).filter("t > 0")
+    return c.groupBy("map").agg(F.percentile("h", F.lit(0.5), F.greatest(F.col("t"), F.lit(1)).cast("bigint")).alias("median"))
+
+
+@query
+def style_split(spark, sf_dir):
+    flat = raster.slopes(grid(spark, sf_dir)).filter("NOT water AND slope < 20").groupBy("map").agg((F.count_if("block") / F.count(F.lit(1))).alias("rate"))
+    return flat.withColumn("style", F.when(F.col("rate") < 0.25, "slope_driven").otherwise("painted_box"))
+
+
+@query
+def control_lift(spark, sf_dir):
+    """Block rate under tiles of index 7 against four probes shifted by six cells."""
+    c = grid(spark, sf_dir)
+    shifts = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(k).alias("probe")) for dx, dy, k in ((0, 0, 0), (6, 0, 1), (-6, 0, 1), (0, 6, 1), (0, -6, 1))])
+    probes = c.filter("t = 7").select("map", "gx", "gy", F.explode(shifts).alias("s")).select("map", (F.col("gx") + F.col("s.dx")).alias("gx"), (F.col("gy") + F.col("s.dy")).alias("gy"), "s.probe")
+    rate = lambda k: F.sum(F.when(F.col("probe") == k, F.col("block").cast("int"))) / F.count_if(F.col("probe") == k)
+    return probes.join(c.select("map", "gx", "gy", "block"), ["map", "gx", "gy"]).groupBy("map").agg(rate(0).alias("rate"), rate(1).alias("control"), F.round(rate(0) / rate(1), 9).alias("lift"))
+
+
+@query
+def footprint_check(spark, sf_dir):
+    """Median of the mean size per id over its registered size, ids with three or more."""
+    items = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"), F.percentile("l_quantity", F.lit(0.5)).alias("q")).filter("n >= 3")
+    both = items.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return both.groupBy("p_brand").agg(F.count(F.lit(1)).alias("ids"), F.percentile(F.col("q") / F.col("p_size"), F.lit(0.5)).alias("ratio"))
+
+
+@query
+def server_compare(spark, sf_dir):
+    """Low flag bits of a grid against its 2 x 2 finer copy with some cells changed."""
+    c = cells(spark, sf_dir)
+    two = F.sequence(F.lit(0), F.lit(1))
+    fine = c.select("map", "gx", "gy", "h", F.col("attr").bitwiseAND(7).alias("low"), F.explode(two).alias("ox")).select("*", F.explode(two).alias("oy"))
+    fine = fine.select("map", (F.col("gx") * 2 + F.col("ox")).alias("fx"), (F.col("gy") * 2 + F.col("oy")).alias("fy"), F.when((F.col("h") % 97 == 5) & (F.col("ox") == 1), 0).otherwise(F.col("low")).alias("server"))
+    near = fine.withColumns({"gx": F.floor(F.col("fx") / 2).cast("int"), "gy": F.floor(F.col("fy") / 2).cast("int")})
+    both = near.join(c.select("map", "gx", "gy", F.col("attr").bitwiseAND(7).alias("client")), ["map", "gx", "gy"])
+    return both.groupBy("map").agg(F.count(F.lit(1)).alias("cells"), F.count_if(F.col("server") != F.col("client")).alias("differ"), F.max("server").alias("most"))
+
+
+@query
+def edge_bands(spark, sf_dir):
+    """Width of the blocked band at each vertical edge: lines from the edge until the
+    first whose blocked share falls below a half."""
+    lines = grid(spark, sf_dir).groupBy("map", "gx").agg((F.count_if("block") / F.count(F.lit(1))).alias("share"))
+    west = lines.select("map", F.lit("west").alias("side"), F.col("gx").alias("rank"), "share")
+    east = lines.select("map", F.lit("east").alias("side"), (63 - F.col("gx")).alias("rank"), "share")
+    return west.unionByName(east).groupBy("map", "side").agg(F.coalesce(F.min(F.when(F.col("share") < 0.5, F.col("rank"))), F.lit(64)).alias("width"))
+
+
+@query
+def patch_scan(spark, sf_dir):
+    """Overlapping 16 x 16 patches at stride 8: every cell falls into four at most."""
+    c = cells(spark, sf_dir)
+    at = lambda k: F.filter(F.transform(F.sequence(F.lit(0), F.lit(1)), lambda i: F.floor(F.col(k) / 8).cast("int") - i), lambda p: (p >= 0) & (p <= 6))
+    spread = c.select("map", "h", F.explode(at("gx")).alias("px"), "gy").select("map", "h", "px", F.explode(at("gy")).alias("py"))
+    patches = spread.groupBy("map", "px", "py").agg(F.count(F.lit(1)).alias("n"), (F.max("h") - F.min("h")).alias("relief"), F.sum("h").alias("total"))
+    return aggregates.top_n(patches.filter("n = 256"), ["map"], [F.col("relief").desc(), F.col("total").desc(), F.col("px"), F.col("py")], 2)
+
+
+@query
+def level_gaps(spark, sf_dir):
+    """Groups of used heights: a gap above ten opens a new one."""
+    used = cells(spark, sf_dir).select("map", "h").distinct()
+    w = Window.partitionBy("map").orderBy("h")
+    groups = used.withColumn("new", (F.col("h") - F.lag("h").over(w) > 10).cast("int")).withColumn("grp", F.sum(F.coalesce("new", F.lit(0))).over(w))
+    return groups.groupBy("map", "grp").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.count(F.lit(1)).alias("levels"))
+
+
+@query
+def even_samples(spark, sf_dir):
+    """Every step-th part of a brand in order, eight at most."""
+    p = table(spark, sf_dir, "part")
+    w = Window.partitionBy("p_brand")
+    r = p.select("p_brand", "p_partkey", (F.row_number().over(w.orderBy("p_partkey")) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
+    step = F.greatest(F.lit(1), F.floor(F.col("n") / 8))
+    return r.filter((F.col("i") % step == 0) & (F.floor(F.col("i") / step) < 8)).select("p_brand", "p_partkey")
+
+
+@query
+def palette_sets(spark, sf_dir):
+    """Declared and used indices: the differences both ways."""
+    used = cells(spark, sf_dir).filter("t > 0").groupBy("map").agg(F.collect_set("t").alias("used"))
+    declared = F.array(*[F.lit(i) for i in (1, 2, 3, 5, 6, 9)])
+    listed = lambda a: F.concat_ws(",", F.transform(F.array_sort(a), lambda x: x.cast("string")))
+    return used.select("map", listed(F.array_except(declared, F.col("used"))).alias("unused"), listed(F.array_except("used", declared)).alias("undeclared"), F.size(F.array_intersect("used", declared)).alias("both"))
+
+
+@query
+def submerged_masks(spark, sf_dir):
+    """Two readings of "under water at 40": lowest of four corners, or the corner itself."""
+    c = raster.neighbours(cells(spark, sf_dir), "h").withColumn("h_se", F.lead("h_e").over(raster.along_column()))
+    low = F.least("h", "h_e", "h_s", "h_se")
+    return c.filter("h_se IS NOT NULL").groupBy("map").agg(F.count_if(low < 40).alias("lowest"), F.count_if(F.col("h") < 40).alias("corner"))
+
+
+@query
+def exposed_shore(spark, sf_dir):
+    """Water cells of the interior with a neighbour that is dry and lower."""
+    c = grid(spark, sf_dir)
+    n = raster.neighbours(c, "h", "water").filter("water AND gx > 0 AND gy > 0 AND gx < 63 AND gy < 63")
+    shore = F.lit(False)
+    bare = F.lit(False)
+    for d in "wens":
+        shore = shore | ~F.col(f"water_{d}")
+        bare = bare | (~F.col(f"water_{d}") & (F.col(f"h_{d}") < F.col("h")))
+    return n.groupBy("map").agg(F.count(F.lit(1)).alias("plane"), F.count_if(shore).alias("boundary"), F.count_if(bare).alias("exposed"))
+
+
+@query
+def ring_profile(spark, sf_dir):
+    """Mean height by chessboard distance 0..4 from cells of a rare height."""
+    c = cells(spark, sf_dir)
+    near = c.withColumn("ring", F.lit(None).cast("int"))
+    for k in (4, 3, 2, 1, 0):
+        near = raster.halo(near, F.col("h") % 50 == 49, k).withColumn("ring", F.when(F.col("near"), k).otherwise(F.col("ring"))).drop("near")
+    return near.filter("ring IS NOT NULL").groupBy("map", "ring").agg(F.count(F.lit(1)).alias("n"), F.sum("h").alias("total"))
+
+
+@query
+def out_of_range_tiles(spark, sf_dir):
+    """Indices above the count, and indices of empty slots."""
+    kind = F.when(F.col("t") > 6, "above_count").when(F.col("t") == 4, "empty_slot")
+    return cells(spark, sf_dir).withColumn("kind", kind).filter("kind IS NOT NULL").groupBy("map", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def region_filters(spark, sf_dir):
+    """Cells inside a disc, a box and a polygon (even-odd at cell centres)."""
+    corners = ((5, 5), (50, 10), (40, 55), (10, 40))
+    x, y = F.col("gx") + 0.5, F.col("gy") + 0.5
+    crossings = F.lit(0)
+    for (x1, y1), (x2, y2) in zip(corners, corners[1:] + corners[:1], strict=True):
+        hit = ((F.lit(y1) > y) != (F.lit(y2) > y)) & (x < (x2 - x1) * (y - y1) / F.lit(float(y2 - y1)) + x1)
+        crossings = crossings + hit.cast("int")
+    disc = (F.col("gx") - 32) * (F.col("gx") - 32) + (F.col("gy") - 32) * (F.col("gy") - 32) <= 400
+    return cells(spark, sf_dir).groupBy("map").agg(F.count_if(disc).alias("disc"), F.count_if(F.col("gx").between(8, 20) & F.col("gy").between(8, 20)).alias("box"), F.count_if(crossings % 2 == 1).alias("polygon"))
+
+
+@query
+def deep_unflagged(spark, sf_dir):
+    """Maps whose low cells are mostly flagged as water, yet many are missed."""
+    n = grid(spark, sf_dir).filter("h < 60").groupBy("map").agg(F.count(F.lit(1)).alias("deep"), F.count_if("water").alias("flagged"))
+    return n.withColumn("finding", (F.col("deep") >= 100) & (2 * F.col("flagged") >= F.col("deep")) & (F.col("deep") - F.col("flagged") > 0.4 * F.col("deep")))
+
+
+@query
+def walkable_rock(spark, sf_dir):
+    """Walkable share of steep tiles of the rock indices."""
+    steep = raster.slopes(grid(spark, sf_dir)).filter("slope >= 25 AND t >= 5")
+    return steep.groupBy("map").agg(F.count(F.lit(1)).alias("n"), (F.count_if(~F.col("block")) / F.count(F.lit(1))).alias("walkable"))
+
+
+@query
+def spawn_zone_audit(spark, sf_dir):
+    """Walkable share of the zone around each supplier's square; zones outside; empty ones."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", ((F.col("s_suppkey") * 7) % 70).cast("int").alias("cx"), ((F.col("s_suppkey") * 13) % 70).cast("int").alias("cy"))
+    span = lambda k: F.sequence(F.col(k) - 2, F.col(k) + 2)
+    zone = s.select("s_suppkey", F.explode(span("cx")).alias("gx"), "cy").select("s_suppkey", "gx", F.explode(span("cy")).alias("gy"))
+    met = zone.join(grid(spark, sf_dir).filter("map = 'A'").select("gx", "gy", "block"), ["gx", "gy"], "left").groupBy("s_suppkey").agg(F.count("block").alias("inside"), F.count_if(~F.col("block")).alias("free"))
+    kind = F.when(F.col("inside") < 25, "outside").when(F.col("free") < 0.6 * F.col("inside"), "blocked").otherwise("fine")
+    return met.groupBy(kind.alias("finding")).agg(F.count(F.lit(1)).alias("zones"))
+
+
+@query
+def sector_blocks(spark, sf_dir):
+    """Sectors that hang together over borders whose median step is at most sixty."""
+    m = borders(spark, sf_dir).groupBy("map", "axis", "sx", "sy").agg(F.percentile("d", F.lit(0.5)).alias("median")).filter("median <= 60")
+    side = 64 // SECTOR
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        block = list(range(side * side))
+        for r in g.itertuples():
+            a = r.sy * side + r.sx
+            b = a + 1 if r.axis == "x" else a + side
+            low, high = sorted((block[a], block[b]))
+            block = [low if x == high else x for x in block]
+        return pd.DataFrame({"map": g["map"].iloc[0], "sx": [i % side for i in range(side * side)], "sy": [i // side for i in range(side * side)], "block": block})
+
+    return m.groupBy("map").applyInPandas(run, "map string, sx int, sy int, block int")
+
+
+@query
+def filled_holes(spark, sf_dir):
+    """A mask with its holes: the complement's components that do not touch the border."""
+    dry = cells(spark, sf_dir).select("map", "gx", "gy", (F.col("h") % 3 == 0).alias("m"))
+    c = graph.components(dry, "m").withColumn("edge", ((F.col("gx") == 0) | (F.col("gy") == 0) | (F.col("gx") == 63) | (F.col("gy") == 63)).cast("int"))
+    holes = c.groupBy("map", "component").agg(F.count(F.lit(1)).alias("n"), F.max("edge").alias("edge")).filter("edge = 0")
+    return holes.groupBy("map").agg(F.count(F.lit(1)).alias("holes"), F.sum("n").alias("filled"))

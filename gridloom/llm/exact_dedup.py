@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import fan_out, stored, text_of
 
+#: Characters of a text that take part in sampling splitters.
+HEAD = 64
+
 
 def exact_dedup(
     docs: DataFrame,
@@ -38,15 +41,21 @@ def exact_dedup(
     text: Column = text_of(text_col)
     if normalise is not None:
         text = normalise(text)
-    rows = docs.select(F.col(id_col).alias("_id"), text.alias("_text")).withColumn(
-        "_salt", F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int")
+    rows = docs.select(F.col(id_col).alias("_id"), text.alias("_text")).select(
+        "_id",
+        "_text",
+        F.substring("_text", 1, HEAD).alias("_head"),
+        F.sha2(F.col("_text").cast("binary"), 256).alias("_sha"),
+        F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int").alias("_salt"),
     )
-    ranged = rows.repartitionByRange(fan_out(spark), "_text", "_salt")
+    # Splitters are sampled on the texts' heads and digests, which equal texts share, so
+    # what the driver samples stays a few hundred bytes a row however long the texts are.
+    ranged = rows.repartitionByRange(fan_out(spark), "_head", "_sha", "_salt")
     order = F.col("_id").desc_nulls_last() if keep == "max" else F.col("_id").asc_nulls_last()
-    # The window's grouping keys equal the range keys: no further exchange, one external
-    # sort, and the window operator compares the whole text of neighbouring rows.
+    # The range keys are among the window's grouping keys: no further exchange, one
+    # external sort, and the window operator compares the whole neighbouring texts.
     run = (
-        Window.partitionBy("_text", "_salt")
+        Window.partitionBy("_head", "_sha", "_salt", "_text")
         .orderBy(order)
         .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     )
@@ -54,10 +63,10 @@ def exact_dedup(
         ranged.select(
             "_id",
             "_salt",
-            F.sha2(F.col("_text").cast("binary"), 256).alias("_sha"),
+            "_sha",
             F.first("_id").over(run).alias("_run_keep"),
             F.count(F.lit(1)).over(run).alias("_run_size"),
-            F.row_number().over(Window.partitionBy("_text", "_salt").orderBy(order)).alias("_at"),
+            F.row_number().over(Window.partitionBy("_head", "_sha", "_salt", "_text").orderBy(order)).alias("_at"),
         ),
         "content-runs",
     )

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -18,14 +19,18 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+_own: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder driver and executors share: spark.checkpoint.dir, else (tests) a local one."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
-    path = os.path.join(tempfile.gettempdir(), "gridloom-checkpoint")
-    os.makedirs(path, exist_ok=True)
-    return f"file://{path}"
+    if not _own:  # one process, as in tests: driver and executors share its disk
+        _own.append(tempfile.mkdtemp(prefix="gridloom-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return f"file://{_own[0]}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -33,8 +33,8 @@ from gridloom.llm.common import fan_out, stored
 from gridloom.llm.components import Forest, components
 from gridloom.llm.shingles import shingle_sets
 
-SKETCH_BITS = 20
-SKETCH_ROWS = 2
+SKETCH_BITS = 22
+SKETCH_ROWS = 1
 PIECE = 1 << 14
 BLOOM_BITS = 26
 MASK = np.uint64((1 << SKETCH_BITS) - 1)
@@ -55,7 +55,7 @@ def pieces(table: np.ndarray) -> Iterator[tuple[int, bytes]]:
 def summed(parts: DataFrame, length: int, dtype: str, combine) -> np.ndarray:
     """The element-wise combination of all packed parts (columns piece, packed).
 
-    Each piece is combined by two levels of tasks; the driver gets one fixed-size table.
+    The driver gets one fixed-size table.
     """
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -66,7 +66,7 @@ def summed(parts: DataFrame, length: int, dtype: str, combine) -> np.ndarray:
                 held[piece] = values.copy() if piece not in held else combine(held[piece], values)
         yield pd.DataFrame({"piece": list(held), "packed": [zlib.compress(v.tobytes(), 1) for v in held.values()]}).astype({"piece": "int64"})
 
-    merged = parts.select("piece", "packed").mapInPandas(add, "piece long, packed binary").repartition(min(32, fan_out(parts.sparkSession)), "piece").mapInPandas(add, "piece long, packed binary")
+    merged = parts.select("piece", "packed").repartition(min(32, fan_out(parts.sparkSession)), "piece").mapInPandas(add, "piece long, packed binary")
     table = np.zeros(length, dtype)
     for row in merged.collect():
         table[row["piece"] * PIECE : (row["piece"] + 1) * PIECE] = np.frombuffer(zlib.decompress(row["packed"]), dtype)
@@ -244,7 +244,7 @@ def ngram_join(
     text_col: str = "text",
     width: int = 5,
     percent: int = 80,
-    part_size: int = 768,
+    part_size: int = 250_000,
     hot: int = 4096,
 ) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (smallest id reachable).
@@ -261,8 +261,9 @@ def ngram_join(
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     first = stored(profile(rows, width), "profile")
     nodes = first.filter("piece < 0")
+    named = nodes.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("id").alias("least"), F.max("n").alias("n"))
     table = summed(first.filter("piece >= 0"), SKETCH_ROWS << SKETCH_BITS, "uint32", np.add)
-    sketch = spark.sparkContext.broadcast(table)  # 8 MB whatever the corpus
+    sketch = spark.sparkContext.broadcast(table)  # 16 MB whatever the corpus
 
     edges = candidate_edges(prefixes(rows, width, percent, sketch, hot), percent)
     groups = stored(components(edges), "groups")
@@ -298,11 +299,13 @@ def ngram_join(
             yield pd.DataFrame(out, columns=["sig", "shingles"])
 
     sets = rows.mapInPandas(grouped_sets, "sig binary, shingles binary")
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    total = sizes.agg(F.coalesce(F.sum(F.when(F.col("members") <= part_size, F.col("members"))), F.lit(0))).first()[0]
-    shelves = max(1, total // part_size)
-    # Small groups share a shelf; a large one is cut into parts, joined two by two.
-    parts = F.ceil(F.col("members") / F.lit(part_size)).cast("int")
+    sized = groups.join(named.select(F.col("sig").alias("s"), "n"), F.col("node") == F.col("s"))
+    sizes = stored(sized.groupBy("component").agg(F.sum("n").alias("shingles")), "group-sizes")
+    total = sizes.agg(F.sum(F.when(F.col("shingles") <= part_size, F.col("shingles")))).first()[0] or 0
+    shelves = max(1, 2 * total // part_size)
+    # Small groups share a shelf; a large one is cut into parts, joined two by two. Both
+    # are measured in shingles, so a task's memory does not follow the texts' lengths.
+    parts = F.ceil(F.col("shingles") / F.lit(part_size)).cast("int")
     placed = groups.join(sizes.withColumnRenamed("component", "c"), F.col("component") == F.col("c")).select("node", "component", parts.alias("parts"), F.pmod(F.hash("node", F.lit(7)), parts).alias("part"))
     shelf = F.array(F.struct(F.concat(F.lit("s"), F.pmod(F.xxhash64("component"), F.lit(shelves)).cast("string")).alias("grp"), F.lit(-1).alias("side")))
     pair = F.transform(
@@ -313,10 +316,10 @@ def ngram_join(
         ),
     )
     placed = placed.select("node", F.explode(F.when(F.col("parts") == 1, shelf).otherwise(pair)).alias("g"))
-    members = sets.dropDuplicates(["sig"]).join(placed, F.col("sig") == F.col("node")).select("g.grp", "g.side", "sig", "shingles")
-    links = components(join_groups(members, percent))
+    members = sets.join(placed, F.col("sig") == F.col("node")).select("g.grp", "g.side", "sig", "shingles")
+    # Written first: two Python steps in one stage would double an executor's workers.
+    links = components(stored(join_groups(members, percent), "links"))
 
-    named = nodes.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("id").alias("least"))
     classes = (
         named.join(links, F.col("sig") == F.col("node"), "left")
         .select("sig", "least", F.coalesce("component", "sig").alias("class"))

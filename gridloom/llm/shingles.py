@@ -51,7 +51,7 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def shingle_sets(texts: list[str | None], width: int = 5, most_bytes: int = 4_000_000) -> Iterator[np.ndarray]:
+def shingle_sets(texts: list[str | None], width: int = 5, most_bytes: int = 1_000_000) -> Iterator[np.ndarray]:
     """For each text its sorted distinct shingle hashes; empty without words.
 
     Texts with fewer than ``width`` words have one shingle, the whole sequence.

@@ -29,6 +29,7 @@ RULES = (
 )
 MASS = 1_000_000_000_000
 ROUNDS = 8
+SALTS = 32
 LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
 RELATIVE = r"""(?i)\bhref\s*=\s*["']?\s*(?:/(?!/)|[^"'\s<>:/]+["'\s>/])"""
 
@@ -151,6 +152,10 @@ def judge_urls(
         .select(F.col("host").alias("h"), density("trust").alias("trust"), density("distrust").alias("distrust"))
     )
     by_host = F.when(F.col("distrust") - F.col("trust") > F.lit(float(threshold)), F.lit("block")).otherwise(F.lit("allow"))
-    return slim.join(scores, slim.host == scores.h, "left").select(
+    # A host may have a third of all pages: its pages are dealt over salts, its one score
+    # row is sent to each of them.
+    dealt = slim.withColumn("salt", F.pmod(F.xxhash64("id", "path"), F.lit(SALTS)).cast("int"))
+    sent = scores.withColumn("h_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(sent, (F.col("host") == F.col("h")) & (F.col("salt") == F.col("h_salt")), "left").select(
         F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", by_host).alias("verdict"), "trust", "distrust"
     )

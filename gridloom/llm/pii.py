@@ -156,13 +156,14 @@ def reliabilities(patterns: DataFrame, rounds: int = 8) -> tuple[list, list]:
     prior = [0.7] * len(KINDS)
     table = [[[[0.1, 0.3, 0.6], [0.5, 0.3, 0.2]] for _ in LABELERS] for _ in KINDS]
     for _ in range(rounds):
-        soft = F.col("n") * posterior(prior, table)
-        sums = [F.sum("n").alias("n"), F.sum(soft).alias("t")]
+        votes = [vote_of(F.col("code"), j).alias(f"v{j}") for j in range(len(LABELERS))]
+        rows = patterns.select("kind", "n", (F.col("n") * posterior(prior, table)).alias("soft"), *votes)
+        sums = [F.sum("n").alias("n"), F.sum("soft").alias("t")]
         for j in range(len(LABELERS)):
             for v in range(3):
-                hit = vote_of(F.col("code"), j) == v
-                sums += [F.sum(F.when(hit, soft).otherwise(0.0)).alias(f"t{j}{v}"), F.sum(F.when(hit, F.col("n")).otherwise(0)).alias(f"a{j}{v}")]
-        for r in patterns.groupBy("kind").agg(*sums).collect():
+                hit = F.col(f"v{j}") == v
+                sums += [F.sum(F.when(hit, F.col("soft")).otherwise(0.0)).alias(f"t{j}{v}"), F.sum(F.when(hit, F.col("n")).otherwise(0)).alias(f"a{j}{v}")]
+        for r in rows.groupBy("kind").agg(*sums).collect():
             k, true, false = r["kind"], r["t"], r["n"] - r["t"]
             prior[k] = (true + 7) / (r["n"] + 10)
             for j in range(len(LABELERS)):

@@ -2,7 +2,7 @@
 
 1. A first pass hashes every text into its set of distinct shingles, names the set by a
    128-bit digest (equal sets are one node from here on) and fills a count sketch of all
-   shingles, a fixed number of bytes whatever the corpus.
+   shingles, 32 MB at most whatever the corpus.
 2. The sketch orders shingles from rare to common. Sets that reach the threshold share a
    shingle among the first n - ceil(t n) + 1 of either, in any common order; only those
    prefixes are shuffled. Inside a shingle's index list, sorted by set size, a jump below
@@ -33,11 +33,10 @@ from gridloom.llm.common import fan_out, stored
 from gridloom.llm.components import Forest, components
 from gridloom.llm.shingles import shingle_sets
 
-SKETCH_BITS = 22
-SKETCH_ROWS = 1
+SKETCH_BITS = (20, 24)
+SKETCH_MOST = 65_535
 PIECE = 1 << 14
 BLOOM_BITS = 26
-MASK = np.uint64((1 << SKETCH_BITS) - 1)
 
 
 def digest(own: np.ndarray) -> bytes:
@@ -73,15 +72,25 @@ def summed(parts: DataFrame, length: int, dtype: str, combine) -> np.ndarray:
     return table
 
 
-def sketch_places(own: np.ndarray) -> list[np.ndarray]:
-    return [((own >> np.uint64(SKETCH_BITS * r)) & MASK).astype(np.int64) + (r << SKETCH_BITS) for r in range(SKETCH_ROWS)]
+def sketch_bits(text_bytes: int) -> int:
+    """A counter for about eight shingles, between 2^20 and 2^24 (32 MB) of them."""
+    return min(max((text_bytes // 48).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1])
 
 
-def profile(docs: DataFrame, width: int) -> DataFrame:
+def sketch_places(own: np.ndarray, bits: int) -> np.ndarray:
+    return (own >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of 16-bit counters, held at their largest value."""
+    return np.minimum(a.astype(np.uint32) + b, SKETCH_MOST).astype(np.uint16)
+
+
+def profile(docs: DataFrame, width: int, bits: int) -> DataFrame:
     """Rows (id, n, sig) of all documents and, beside them, the sketch's packed parts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = np.zeros(SKETCH_ROWS << SKETCH_BITS, np.uint32)
+        table = np.zeros(1 << bits, np.uint16)
         for batch in batches:
             n, sig, held, size = [], [], [], 0
             for own in shingle_sets(batch["text"].tolist(), width):
@@ -99,14 +108,13 @@ def profile(docs: DataFrame, width: int) -> DataFrame:
 
     def count(table: np.ndarray, held: list[np.ndarray]) -> None:
         if held:
-            for places in sketch_places(np.concatenate(held)):
-                at, more = np.unique(places, return_counts=True)
-                table[at] += more.astype(np.uint32)
+            at, more = np.unique(sketch_places(np.concatenate(held), bits), return_counts=True)
+            table[at] = added(table[at], more)
 
     return docs.mapInPandas(run, "id long, n long, sig binary, piece long, packed binary")
 
 
-def prefixes(docs: DataFrame, width: int, percent: int, sketch, hot: int) -> DataFrame:
+def prefixes(docs: DataFrame, width: int, percent: int, sketch, bits: int, hot: int) -> DataFrame:
     """(sig, n, shingles, parts): each set's prefix in the sketch's order, rare first.
 
     ``parts`` is how many salts the shingle's index list is dealt over, 1 if not hot.
@@ -123,7 +131,7 @@ def prefixes(docs: DataFrame, width: int, percent: int, sketch, hot: int) -> Dat
                 if len(seen) > 100_000:  # saves repeated rows only; they fall together later
                     seen.clear()
                 seen.add(sig)
-                common = np.minimum.reduce([table[p] for p in sketch_places(own)])
+                common = table[sketch_places(own, bits)].astype(np.int32)
                 length = len(own) - -(-percent * len(own) // 100) + 1
                 first = np.lexsort((own, common))[:length]
                 first = first[common[first] > 1]  # met once: no other set has it
@@ -259,16 +267,17 @@ def ngram_join(
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    first = stored(profile(rows, width), "profile")
+    bits = sketch_bits(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    first = stored(profile(rows, width, bits), "profile")
     nodes = first.filter("piece < 0")
     named = nodes.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("id").alias("least"), F.max("n").alias("n"))
-    table = summed(first.filter("piece >= 0"), SKETCH_ROWS << SKETCH_BITS, "uint32", np.add)
-    sketch = spark.sparkContext.broadcast(table)  # 16 MB whatever the corpus
+    table = summed(first.filter("piece >= 0"), 1 << bits, "uint16", added)
+    sketch = spark.sparkContext.broadcast(table)  # 32 MB at most, whatever the corpus
 
-    edges = candidate_edges(prefixes(rows, width, percent, sketch, hot), percent)
+    edges = candidate_edges(prefixes(rows, width, percent, sketch, bits, hot), percent)
     groups = stored(components(edges), "groups")
 
-    def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = np.zeros(1 << (BLOOM_BITS - 3), np.uint8)
         for batch in batches:
             for sig in batch["node"]:
@@ -277,7 +286,7 @@ def ngram_join(
         rows = list(pieces(table))
         yield pd.DataFrame({"piece": [p for p, _ in rows], "packed": [b for _, b in rows]}).astype({"piece": "int64"})
 
-    bloom = spark.sparkContext.broadcast(summed(groups.mapInPandas(bits, "piece long, packed binary"), 1 << (BLOOM_BITS - 3), "uint8", np.bitwise_or))
+    bloom = spark.sparkContext.broadcast(summed(groups.mapInPandas(mark, "piece long, packed binary"), 1 << (BLOOM_BITS - 3), "uint8", np.bitwise_or))
 
     def grouped_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = bloom.value

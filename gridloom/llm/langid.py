@@ -70,7 +70,7 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return packed[scored], owner[scored]
 
 
-def batches_of(texts: list[str | None], most_chars: int = 3_000_000) -> Iterator[tuple[int, list[str | None]]]:
+def batches_of(texts: list[str | None], most_chars: int = 1_000_000) -> Iterator[tuple[int, list[str | None]]]:
     at = 0
     while at < len(texts):
         first, size = at, 0

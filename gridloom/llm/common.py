@@ -23,35 +23,56 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder driver and executors share: spark.checkpoint.dir, else (tests) a local one."""
+    """The folder driver and executors share: spark.checkpoint.dir, else (tests) a local one.
+
+    Raises an error where the setting is missing and the master is not local: executors
+    of a cluster do not see the driver's own disk.
+    """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"spark.checkpoint.dir must name a shared folder on {master}")
     if not _own:  # one process, as in tests: driver and executors share its disk
         _own.append(tempfile.mkdtemp(prefix="gridloom-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
     return f"file://{_own[0]}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) as Spark itself reaches it."""
+    jvm = spark.sparkContext._jvm
+    own = jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), own
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    store, own = hadoop_path(spark, path)
+    return store.exists(own)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    store, own = hadoop_path(spark, path)
+    store.delete(own, True)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back.
 
-    Columnar, compressed and re-readable after an executor is lost; preferred to a
-    checkpoint where the rows hold long arrays.
+    Columnar, compressed and re-readable after an executor is lost, and its lineage is cut.
     """
     path = f"{shared_dir(df.sparkSession)}/gridloom/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a table that ``stored`` wrote and nothing reads any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        delete_path(df.sparkSession, folder)
+
+
 def fan_out(spark: SparkSession, least: int = 1) -> int:
     """Partitions for an explicit exchange: what the session deals out, at least ``least``."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

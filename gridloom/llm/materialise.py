@@ -1,14 +1,15 @@
 """Training-order materialisation of token sequences into fixed-stride shards.
 
 Documents are tokenised once; each task's token stream is cut into sequences of
-``stride`` tokens, the task's last one possibly shorter, which are stored compressed. A stored row's dense number is its file's offset, from per-file counts, plus
-its row index, both fixed once the files exist. A keyed Feistel permutation over the next
-power of four, walked until it lands below the number of sequences, turns that number
-into the sequence's global slot: a bijection, so slots are dense and need no sort to be
-dealt. Rows are range-partitioned by shard (slot div shard_slots), sorted by slot, and
-each task writes whole shards of fixed-stride records: slot s is record s mod
-shard_slots of its shard, so any range of slots is read sequentially and a run resumes
-from a slot number alone.
+``stride`` tokens, the task's last one possibly shorter, which are stored compressed. A
+stored row's dense number is its file's offset, from per-file counts, plus its row index,
+both fixed once the files exist. A keyed Feistel permutation over the next power of four,
+walked until it lands below the number of sequences, turns that number into the
+sequence's global slot: a bijection, so slots are dense and their ranges are known by
+arithmetic, without a sample. Rows are range-partitioned by slot, a few whole shards a
+task, and sorted; each task writes whole shards of fixed-stride records: slot s is record
+s mod shard_slots of its shard, so any range of slots is read sequentially and a run
+resumes from a slot number alone.
 
 Shards are written under a temporary name and moved, with the same bytes on any attempt.
 """
@@ -23,11 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import fan_out, shared_dir
-from gridloom.llm.tokens import word_ids
+from gridloom.llm.common import delete_path, path_exists, shared_dir
+from gridloom.llm.tokens import token_ids
 
 
 def feistel_slots(numbers: np.ndarray, total: int, key: int, rounds: int = 6) -> np.ndarray:
@@ -60,20 +61,18 @@ def sequences(docs: DataFrame, vocabulary: str, stride: int, end_id: int) -> Dat
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
 
-        press = zstandard.ZstdCompressor(level=3)
-        tail = np.array([end_id], "<u4").tobytes()
-        parts: list[bytes] = []
+        press = zstandard.ZstdCompressor(level=6)
+        parts: list[np.ndarray] = []
         pieces: list[dict] = []
         held = 0
         out: list[tuple] = []
 
         def close() -> None:
             nonlocal parts, pieces, held
-            ids = b"".join(parts)
-            values = np.frombuffer(ids, "<u4")
-            if len(values) and values.max() > 0xFFFF:
+            ids = np.concatenate(parts).astype("<u4", copy=False)
+            if ids.max() > 0xFFFF:
                 raise ValueError("token ids above 65535 do not fit the shards' 16 bits")
-            out.append((held, zlib.crc32(ids), pieces, press.compress(values.astype("<u2").tobytes())))
+            out.append((held, zlib.crc32(ids), pieces, press.compress(ids.astype("<u2").tobytes())))
             parts, pieces, held = [], [], 0
 
         def table() -> pd.DataFrame:
@@ -83,13 +82,13 @@ def sequences(docs: DataFrame, vocabulary: str, stride: int, end_id: int) -> Dat
             return frame
 
         for batch in batches:
-            ids = batch["id"].astype(object).where(batch["id"].notna(), None).tolist()
-            for doc_id, data in zip(ids, word_ids(vocabulary, batch["text"].tolist()), strict=True):
-                data += tail
-                total, at = len(data) // 4, 0
+            names = batch["id"].astype(object).where(batch["id"].notna(), None).tolist()
+            for doc_id, own in zip(names, token_ids(vocabulary, batch["text"].tolist()), strict=True):
+                data = np.append(own, np.uint32(end_id))
+                total, at = len(data), 0
                 while at < total:
                     n = min(stride - held, total - at)
-                    parts.append(data[4 * at : 4 * (at + n)])
+                    parts.append(data[at : at + n])
                     pieces.append({"doc_id": doc_id, "start": at, "offset": held, "length": n})
                     held, at = held + n, at + n
                     if held == stride:
@@ -113,6 +112,7 @@ def materialise(
     shard_slots: int = 4096,
     key: int = 20_240_501,
     end_id: int = 0,
+    task_slots: int = 8192,
 ) -> DataFrame:
     """Writes ``out_dir``/shard-NNNNNN.bin and returns the manifest, one row a sequence.
 
@@ -121,32 +121,41 @@ def materialise(
     ``stride`` unsigned 16-bit ids, zero-padded.
 
     * null and empty texts give the end id alone; rows that repeat an id are pieces of
-      their own; a null id stays null;
-    * an empty table writes no shard and gives no rows; other columns are ignored.
+      their own; a null id stays null; long texts run over as many sequences as they need;
+    * an empty table writes no shard and gives no rows; other columns are ignored;
+    * ids above 65,535 do not fit a record and raise an error;
+    * sequences follow the order of rows inside the input's partitions, so another split
+      of the same rows into files gives other sequences and slots;
+    * a call that was broken off is taken up by calling again with the same folder and
+      arguments: the stored sequences and every finished shard are kept;
+    * a task writes whole shards of about ``task_slots`` records, whatever their number.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     kept = f"{out_dir}/sequences"
-    sequences(rows, vocabulary, stride, end_id).write.option("compression", "none").parquet(kept)
+    if not path_exists(spark, f"{kept}/_SUCCESS"):
+        sequences(rows, vocabulary, stride, end_id).write.mode("overwrite").option("compression", "none").parquet(kept)
     stored = spark.read.parquet(kept).withColumn("file", F.col("_metadata.file_name")).withColumn("row", F.col("_metadata.row_index"))
-    files = stored.groupBy("file").agg(F.count(F.lit(1)).alias("rows"))
-    # One row per file written, the number of tasks, not of documents.
-    before = F.coalesce(F.sum("rows").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = files.select(F.col("file").alias("f"), before.alias("offset"))
-    total = stored.count()
+    # A row for each file, thus for each task that wrote: as many as the driver tracked anyway.
+    files = sorted(tuple(r) for r in stored.groupBy("file").agg(F.count(F.lit(1)).alias("rows")).collect())
+    offsets, total = {}, 0
+    for name, count in files:
+        offsets[name] = total
+        total += count
+    before = spark.sparkContext.broadcast(offsets)
 
     @F.pandas_udf("long")
-    def slot_of(number: pd.Series) -> pd.Series:
-        return pd.Series(feistel_slots(number.to_numpy(), total, key))
+    def slot_of(file: pd.Series, row: pd.Series) -> pd.Series:
+        return pd.Series(feistel_slots(file.map(before.value).to_numpy() + row.to_numpy(), total, key))
 
+    shards = -(-total // shard_slots)
+    per_task = max(1, task_slots // shard_slots)
     placed = (
-        stored.join(F.broadcast(offsets), F.col("file") == F.col("f"))  # a row per task that wrote
-        .withColumn("slot", slot_of(F.col("offset") + F.col("row")))
+        stored.withColumn("slot", slot_of("file", "row"))
         .withColumn("shard", F.expr(f"cast(slot div {shard_slots} as int)"))
         .select("length", "ids_crc32", "pieces", "packed", "slot", "shard")
     )
-    shards = -(-total // shard_slots)
-    ranged = placed.repartitionByRange(max(1, min(shards, 4 * fan_out(spark))), "shard").sortWithinPartitions("slot")
+    ranged = placed.repartitionById(max(1, -(-shards // per_task)), F.expr(f"shard div {per_task}").cast("int")).sortWithinPartitions("slot")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
@@ -161,28 +170,42 @@ def materialise(
                 sink.close()
                 store.move(temp, name)
 
-        for batch in batches:
-            records = np.zeros((len(batch), stride + 1), "<u2")
-            for i, packed in enumerate(batch["packed"]):
-                own = np.frombuffer(unpack.decompress(packed), "<u2")
-                records[i, 0], records[i, 1 : len(own) + 1] = len(own), own
-            shard = batch["shard"].to_numpy()
-            for at in [0, *(np.flatnonzero(np.diff(shard)) + 1)]:
-                if len(shard) and shard[at] != open_shard:
-                    close()
-                    open_shard, name = shard[at], f"{root}/shard-{shard[at]:06d}.bin"
-                    temp = f"{name}.{uuid.uuid4().hex}"
-                    sink = store.open_output_stream(temp)
-                if len(shard):
-                    sink.write(records[at : at + int(np.searchsorted(shard[at:], open_shard, "right"))].tobytes())
-            batch["record"] = batch["slot"] % shard_slots
-            yield batch[["slot", "shard", "record", "length", "ids_crc32", "pieces"]]
+        def finished(shard: int) -> bool:
+            """Whether an earlier attempt has left the whole shard; its bytes are the same."""
+            slots = min(shard_slots, total - shard * shard_slots)
+            return store.get_file_info(f"{root}/shard-{shard:06d}.bin").size == slots * 2 * (stride + 1)
+
+        try:
+            for batch in batches:
+                records = np.zeros((len(batch), stride + 1), "<u2")
+                for i, packed in enumerate(batch["packed"]):
+                    own = np.frombuffer(unpack.decompress(packed), "<u2")
+                    records[i, 0], records[i, 1 : len(own) + 1] = len(own), own
+                shard = batch["shard"].to_numpy()
+                for at in [0, *(np.flatnonzero(np.diff(shard)) + 1)] if len(shard) else []:
+                    if shard[at] != open_shard:
+                        close()
+                        open_shard, sink, name = shard[at], None, f"{root}/shard-{shard[at]:06d}.bin"
+                        if not finished(int(open_shard)):
+                            temp = f"{name}.{uuid.uuid4().hex}"
+                            sink = store.open_output_stream(temp)
+                    if sink is not None:
+                        sink.write(records[at : at + int(np.searchsorted(shard[at:], open_shard, "right"))].tobytes())
+                batch["record"] = batch["slot"] % shard_slots
+                yield batch[["slot", "shard", "record", "length", "ids_crc32", "pieces"]]
+        except BaseException:
+            if sink is not None:  # a failed attempt leaves no file behind
+                sink.close()
+                store.delete_file(temp)
+            raise
         close()
 
     manifest = ranged.mapInPandas(write, f"slot long, shard int, record int, length int, ids_crc32 long, pieces {PIECES}")
     written = f"{out_dir}/manifest"
-    manifest.write.parquet(written)
-    spark.createDataFrame([(json.dumps({"stride": stride, "shard_slots": shard_slots, "sequences": total, "key": key}),)], "value string").coalesce(1).write.text(f"{out_dir}/layout")
+    manifest.write.mode("overwrite").parquet(written)
+    layout = json.dumps({"stride": stride, "shard_slots": shard_slots, "sequences": total, "key": key})
+    spark.createDataFrame([(layout,)], "value string").coalesce(1).write.mode("overwrite").text(f"{out_dir}/layout")
+    delete_path(spark, kept)  # the shards hold the same ids
     return spark.read.parquet(written)
 
 

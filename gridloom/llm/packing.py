@@ -1,17 +1,19 @@
-"""Best-fit packing of documents into fixed-length sequences.
+"""Packing of documents into fixed-length sequences by swap-based local search.
 
 Every document becomes token pieces; only documents above the capacity are cut. Pieces
-are dealt by hash over shelves of about ``shelf_pieces``, each packed in one task by
-best-fit decreasing and then improved by local search: between underfull bins a piece
-moves, or one piece is exchanged for one, or two for one, whenever that raises the sum
-of squared fills; what leaves the emptier bin ends when the bin is empty. A shelf ends
-with at most a bin or so more than needed, a share of 1 / (bins of a shelf).
+are dealt by hash over shelves of about ``shelf_pieces``, each packed in one task. The
+search starts from next fit in order of arrival and goes on while a change between two
+underfull bins raises the sum of squared fills: a piece moves, one piece is exchanged for
+one, or two for one, always from the emptier to the fuller bin and to where the least
+room is left. Bins empty and go. It ends at a fixed point, where no such change is left,
+or when as few bins are left as the tokens need at least. A shelf ends with at most a bin
+or so more than one packing of all pieces, a share of 1 / (bins of a shelf).
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right, insort
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,106 +22,152 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import stored
-from gridloom.llm.tokens import word_ids
+from gridloom.llm.tokens import token_ids
 
 
-def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Bins of item positions, by best fit over decreasing sizes."""
+def next_fit(sizes: list[int], capacity: int) -> list[list[int]]:
+    """Bins of item positions in order of arrival; a bin closes when an item does not fit."""
     bins: list[list[int]] = []
-    by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
-    rooms = 0  # bit r: some bin has room r
-    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
-        size = sizes[i]
-        above = rooms >> size
-        if above:
-            room = size + (above & -above).bit_length() - 1
-            b = by_room[room].pop()
-            if not by_room[room]:
-                rooms &= ~(1 << room)
-        else:
-            room, b = capacity, len(bins)
+    room = -1
+    for i, size in enumerate(sizes):
+        if size > room:
             bins.append([])
-        bins[b].append(i)
-        if room > size:
-            by_room[room - size].append(b)
-            rooms |= 1 << room - size
+            room = capacity
+        bins[-1].append(i)
+        room -= size
     return bins
 
 
-def improve(bins: list[list[int]], sizes: list[int], capacity: int, partners: int = 48, rounds: int = 4) -> list[list[int]]:
-    """Local search between underfull bins; ``partners`` and ``rounds`` bound its time."""
-    fill = [sum(sizes[i] for i in b) for b in bins]
-    kept = {b: sorted((sizes[i], i) for i in items) for b, items in enumerate(bins) if fill[b] < capacity}
-
-    def shift(give: int, take: int, out: list, back: list) -> None:
-        for x in out:
-            kept[give].remove(x)
-            insort(kept[take], x)
-        for x in back:
-            kept[take].remove(x)
-            insort(kept[give], x)
-        more = sum(x[0] for x in out) - sum(x[0] for x in back)
-        fill[give] -= more
-        fill[take] += more
-
-    def step(give: int, take: int) -> bool:
-        """The best change that fills ``take`` from ``give`` (the emptier of the two)."""
-        room = capacity - fill[take]
-        mine, theirs = kept[give], kept[take]
-        best = (0, [], [])
-        at = bisect_right(mine, (room, 1 << 60)) - 1
-        if at >= 0:
-            best = (mine[at][0], [mine[at]], [])
-        if best[0] < room:
-            for x in theirs:  # one for one
-                at = bisect_right(mine, (x[0] + room, 1 << 60)) - 1
-                if at >= 0 and mine[at][0] - x[0] > best[0]:
-                    best = (mine[at][0] - x[0], [mine[at]], [x])
-        if best[0] < room and len(mine) > 1:
-            for x in theirs:  # two for one
-                low, high = 0, len(mine) - 1
-                while low < high:
-                    both = mine[low][0] + mine[high][0] - x[0]
-                    if both > room:
-                        high -= 1
-                    else:
-                        if both > best[0]:
-                            best = (both, [mine[low], mine[high]], [x])
-                        low += 1
-        gain, out, back = best
-        if gain <= 0 or fill[take] + gain <= fill[give]:  # the sum of squares must rise
+class Places:
+    """Members by a number up to the capacity; finds the least number at or above another."""
+
+    def __init__(self, capacity: int) -> None:
+        self.at: list[list] = [[] for _ in range(capacity + 1)]
+        self.used = 0  # bit n: some member has number n
+
+    def add(self, n: int, member) -> None:
+        insort(self.at[n], member)
+        self.used |= 1 << n
+
+    def drop(self, n: int, member) -> None:
+        own = self.at[n]
+        del own[bisect_left(own, member)]
+        if not own:
+            self.used &= ~(1 << n)
+
+    def upward(self, n: int) -> Iterator[int]:
+        left = self.used >> n
+        while left:
+            step = (left & -left).bit_length() - 1
+            yield n + step
+            left = left >> step + 1
+            n += step + 1
+
+
+class LocalSearch:
+    """Underfull bins, changed step by step; every step raises the sum of squared fills."""
+
+    def __init__(self, bins: list[list[int]], sizes: list[int], capacity: int) -> None:
+        self.sizes, self.capacity = sizes, capacity
+        self.bins = [sorted(b, key=sizes.__getitem__) for b in bins]
+        self.fill = [sum(sizes[i] for i in b) for b in bins]
+        self.rooms = Places(capacity)  # bins by their room
+        self.swaps = Places(capacity)  # (size, item, bin) by the largest size that could take the item's place
+        self.left = len(bins)
+        for b in range(len(bins)):
+            self.enter(b)
+
+    def enter(self, b: int) -> None:
+        room = self.capacity - self.fill[b]
+        if room and self.bins[b]:
+            self.rooms.add(room, b)
+            for i in self.bins[b]:
+                self.swaps.add(self.sizes[i] + room, (self.sizes[i], i, b))
+
+    def leave(self, b: int) -> None:
+        room = self.capacity - self.fill[b]
+        if room and self.bins[b]:
+            self.rooms.drop(room, b)
+            for i in self.bins[b]:
+                self.swaps.drop(self.sizes[i] + room, (self.sizes[i], i, b))
+
+    def change(self, give: int, take: int, out: list[int], back: int | None) -> None:
+        for b in (give, take):
+            self.leave(b)
+        for i in out:
+            self.bins[give].remove(i)
+            self.bins[take].append(i)
+        if back is not None:
+            self.bins[take].remove(back)
+            self.bins[give].append(back)
+        for b in (give, take):
+            self.bins[b].sort(key=self.sizes.__getitem__)
+            self.fill[b] = sum(self.sizes[i] for i in self.bins[b])
+            self.enter(b)
+        self.left -= not self.bins[give]
+
+    def moved(self, give: int) -> bool:
+        """The largest piece that fits elsewhere goes where it leaves the least room."""
+        for i in reversed(self.bins[give]):
+            size = self.sizes[i]
+            for room in self.rooms.upward(size):
+                for take in self.rooms.at[room]:
+                    if take != give and self.fill[take] + size > self.fill[give]:
+                        self.change(give, take, [i], None)
+                        return True
+        return False
+
+    def exchanged(self, give: int, out: list[int]) -> bool:
+        """``out`` takes the place of one smaller piece of a bin that ends above this one."""
+        size = sum(self.sizes[i] for i in out)
+        if size > self.capacity:
             return False
-        shift(give, take, out, back)
-        return True
-
-    for _ in range(rounds):
-        open_bins = sorted((b for b in kept if kept[b] and fill[b] < capacity), key=lambda b: fill[b])
-        moved = False
-        for n, give in enumerate(open_bins):
-            fuller = [b for b in open_bins[n + 1 :] if fill[b] < capacity]
-            for take in fuller[-partners:][::-1]:
-                while kept[give] and fill[take] < capacity and step(give, take):
-                    moved = True
-                if not kept[give]:
+        for most in self.swaps.upward(size):
+            if self.capacity - (most - size) <= self.fill[give]:
+                return False  # from here on bins would end no fuller than this one
+            for other, i, take in self.swaps.at[most]:
+                if other >= size:
                     break
-        if not moved:
-            break
-    out = [items for b, items in enumerate(bins) if b not in kept]
-    return out + [[i for _, i in items] for items in kept.values() if items]
+                if take != give:
+                    self.change(give, take, out, i)
+                    return True
+        return False
+
+    def step(self, give: int) -> bool:
+        if self.moved(give):
+            return True
+        own = self.bins[give]
+        if any(self.exchanged(give, [i]) for i in reversed(own)):
+            return True
+        return any(self.exchanged(give, [own[a], own[b]]) for b in range(len(own) - 1, 0, -1) for a in range(b - 1, -1, -1))
+
+    def run(self) -> list[list[int]]:
+        least = -(-sum(self.sizes) // self.capacity)
+        changed = True
+        while changed and self.left > least:
+            changed = False
+            for give in sorted((b for b in range(len(self.bins)) if self.bins[b] and self.fill[b] < self.capacity), key=self.fill.__getitem__):
+                while self.bins[give] and self.fill[give] < self.capacity and self.left > least and self.step(give):
+                    changed = True
+        return [b for b in self.bins if b]
+
+
+def local_search(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
+    """The bins at a fixed point of the exchanges and moves."""
+    return LocalSearch(bins, sizes, capacity).run()
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) -> DataFrame:
     """(id, piece, start, length, ids_crc32) of every row's tokens."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tail = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             ids, out = batch["id"].array, []
-            for k, data in enumerate(word_ids(vocabulary, batch["text"].tolist())):
-                data += tail
-                for piece, at in enumerate(range(0, len(data), 4 * capacity)):
-                    part = data[at : at + 4 * capacity]
-                    out.append((k, piece, at // 4, len(part) // 4, zlib.crc32(part)))
+            for k, own in enumerate(token_ids(vocabulary, batch["text"].tolist())):
+                data = np.append(own, np.uint32(end_id)).astype("<u4", copy=False)
+                for piece, at in enumerate(range(0, len(data), capacity)):
+                    part = data[at : at + capacity]
+                    out.append((k, piece, at, len(part), zlib.crc32(part)))
             table = np.array(out, np.int64).reshape(-1, 5)
             yield pd.DataFrame({"id": ids[table[:, 0]], "piece": table[:, 1].astype(np.int32), "start": table[:, 2], "length": table[:, 3], "ids_crc32": table[:, 4]})
 
@@ -147,12 +195,13 @@ def pack_documents(
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     pieces = stored(token_pieces(rows, vocabulary, capacity, end_id), "pieces")
     shelves = max(1, pieces.count() // shelf_pieces)
-    dealt = pieces.withColumn("shelf", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(shelves)))
+    # The row's number deals out rows that are equal in all columns.
+    dealt = pieces.withColumn("shelf", F.pmod(F.xxhash64("id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(shelves)))
 
     def pack(shelf: pd.DataFrame) -> pd.DataFrame:
         shelf = shelf.sort_values(["id", "piece", "ids_crc32"], kind="stable", ignore_index=True)
         sizes = shelf["length"].tolist()
-        bins = improve(best_fit(sizes, capacity), sizes, capacity)
+        bins = local_search(next_fit(sizes, capacity), sizes, capacity)
         sequence, offset = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
         for b, items in enumerate(bins):
             at = 0

@@ -12,8 +12,14 @@ INVERSE = pow(BASE, -1, 1 << 64)
 PLACES = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, *range(9, 14)]] = True
-#: Byte values: A-Z read as a-z, spread over 64 bits.
-VALUES = np.array([pow(0xD1342543DE82EF95, 3 + (b + 32 if 65 <= b <= 90 else b), (1 << 64) - 59) | 1 for b in range(256)], np.uint64)
+
+
+def byte_values(fold: bool) -> np.ndarray:
+    """Byte values spread over 64 bits; ``fold`` reads A-Z as a-z."""
+    return np.array([pow(0xD1342543DE82EF95, 3 + (b + 32 if fold and 65 <= b <= 90 else b), (1 << 64) - 59) | 1 for b in range(256)], np.uint64)
+
+
+VALUES = byte_values(fold=True)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -8,22 +8,27 @@ Two deterministic transducers replace the tokenizer:
    is cut into fixed chunks, every chunk gets its map start state -> end state, the maps
    compose through a parallel prefix scan, and a second pass emits the boundaries of all
    chunks at once from the right start states.
-2. A merge transducer over the bytes of a pretoken. A state is what later bytes can
-   depend on: the longest suffix that begins a token, and for each of its nested token
-   beginnings the last token and token count of the encoding that ends there. Each
-   transition is annotated with the change of the token count, so the sum along the
-   bytes is the pretoken's token count, with no merges replayed. States are finite in
-   number and are determinised when first met.
+2. A merge transducer over the bytes of a pretoken. Its states are the beginnings of
+   tokens; a transition goes to the longest beginning that ends with the byte, and is
+   annotated with the tokens that end there, longest first. The one of them that may
+   follow the last token before it is the last token here, and the count there plus one
+   is the count here, so no merges are replayed. Transitions, annotations and merge ranks
+   are compiled into sorted arrays, and all new pretokens of a batch step side by side.
 
 That the last token alone decides rests on a property of byte-pair encodings: a token
 sequence is the encoding of its bytes if and only if each neighbouring pair is the
 encoding of the pair's bytes.
+
+Pretokens are named by 64-bit hashes and counted once while remembered: keys and counts
+have a fixed size, so memory does not follow the text. Two of a million remembered
+pretokens share a hash with a chance of about 3e-8.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -31,6 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import text_of
+from gridloom.llm.shingles import mix, powers
+from gridloom.llm.tokens import shown_bytes
 
 LETTER, NUMBER, OTHER, QUOTE1, QUOTE2, LAST_SPACE, LAST_WHITE, WHITE, END = range(9)
 FRESH, IN_LETTER, IN_NUMBER, IN_OTHER, AFTER_SPACE, IN_WHITE, EAT1, EAT2 = range(8)
@@ -117,155 +124,206 @@ class Splitter:
         while reach < chunks:  # prefix scan: compose with the map `reach` chunks before
             maps[reach:] = np.take_along_axis(maps[reach:], maps[:-reach].copy(), axis=1)
             reach *= 2
-        lane = np.concatenate([[FRESH], maps[:-1, FRESH]]).astype(np.uint8)
+        lane = np.concatenate([[FRESH], maps[:-1, FRESH]]).astype(np.intp)
         begins = np.empty(grid.shape, bool)
+        step, starts = self.step.ravel().astype(np.intp), self.starts.ravel()
         for j in range(CHUNK):
-            begins[j] = self.starts[lane, grid[j]]
-            lane = self.step[lane, grid[j]]
+            at = lane * 9 + grid[j]
+            begins[j] = starts[at]
+            lane = step[at]
         return begins.T.reshape(-1)[:n]
 
 
-class MergeTransducer:
-    """Counts the tokens of a pretoken's bytes; transitions are built when first met."""
+NEVER = 1 << 60
+LANE = 64  # bytes; longer pretokens step on their own
+
+
+def lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: int) -> np.ndarray:
+    """Values of the sorted keys, ``default`` where there is none."""
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], default)
 
-    def __init__(self, tokens: dict[bytes, int], merges: dict[tuple[bytes, bytes], int], most_states: int = 200_000) -> None:
-        self.tokens, self.merges, self.most = tokens, merges, most_states
-        self.begins = {t[:i] for t in tokens for i in range(1, len(t) + 1)}
-        self.born = {a + b: (rank, a, b) for (a, b), rank in reversed(merges.items())}
-        self.reached: dict[bytes, bool] = {}
-        self.pairs: dict = {}
-        self.suffixes: dict[bytes, list[int]] = {}
-        self.restart()
+
+class MergeTransducer:
+    """Counts the tokens of pretokens' bytes by compiled transitions."""
+
+    def __init__(self, tokens: dict[bytes, int], merges: dict[tuple[bytes, bytes], int], pair_bits: int = 21) -> None:
+        self.merges = merges
+        node = {b"": 0}
+        for t in tokens:
+            for i in range(1, len(t) + 1):
+                node.setdefault(t[:i], len(node))
+        spelled = list(node)
+        count = len(spelled)
+        edges = np.array([node[s[:-1]] << 8 | s[-1] for s in spelled[1:]], np.int64)
+        order = np.argsort(edges)
+        self.edges, self.targets = edges[order], (order + 1).astype(np.int64)
+        self.lengths = np.array([len(s) for s in spelled], np.int64)
+        self.token = np.array([tokens.get(s, -1) for s in spelled], np.int64)
+        self.shorter = np.zeros(count, np.int64)  # the longest shorter beginning at the end
+        self.longest, self.next = np.zeros(count, np.int64), np.zeros(count, np.int64)  # tokens that end here
+        for s, n in sorted(node.items(), key=lambda x: len(x[0])):
+            if n:
+                i = 1
+                while s[i:] not in node:
+                    i += 1
+                self.shorter[n] = back = node[s[i:]]
+                self.next[n] = self.longest[back]
+                self.longest[n] = n if s in tokens else self.longest[back]
+        self.text = {i: t for t, i in tokens.items()}
+        size = max(tokens.values()) + 1
+        self.rank, self.left, self.right = np.full(size, -1, np.int64), np.zeros(size, np.int64), np.zeros(size, np.int64)
+        for (a, b), rank in reversed(merges.items()):  # of equal results the first merge counts
+            t = tokens[a + b]
+            self.rank[t], self.left[t], self.right[t] = rank, tokens[a], tokens[b]
+        pairs = np.array([tokens[a] << 20 | tokens[b] for a, b in merges], np.int64)
+        order = np.argsort(pairs)
+        self.pairs, self.pair_ranks = pairs[order], np.fromiter(merges.values(), np.int64, len(merges))[order]
+        self.whole = np.full(size, -1, np.int8)  # whether a token is the encoding of its bytes; -1 unknown
+        self.bits = pair_bits
+        self.met, self.fits = np.full(1 << pair_bits, -1, np.int64), np.zeros(1 << pair_bits, bool)
 
     @classmethod
     def of_file(cls, path: str) -> tuple[MergeTransducer, list[str]]:
         """From a tokenizer file; also its special strings."""
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        hidden = [b for b in range(256) if b not in set(shown)]
-        byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+        byte = {c: b for b, c in shown_bytes().items()}
         raw = lambda s: bytes(byte[c] for c in s)
         special = [t["content"] for t in spec["added_tokens"]]
         tokens = {raw(t): i for t, i in spec["model"]["vocab"].items() if t not in special}
         merges = {(raw(a), raw(b)): i for i, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])}
         return cls(tokens, merges), special
 
-    def restart(self) -> None:
-        self.states: dict = {}
-        self.keys: dict[int, tuple] = {}
-        self.start = self.state((b"", ((None, 0),)))
-
-    def state(self, key: tuple) -> dict:
-        if (found := self.states.get(key)) is None:
-            found = self.states[key] = {}
-            self.keys[id(found)] = key
-        return found
-
     def merged(self, data: bytes) -> list[bytes]:
-        """The plain merge loop; runs only on one or two tokens' bytes."""
+        """The plain merge loop; runs only on single tokens' bytes."""
         parts = [data[i : i + 1] for i in range(len(data))]
         while len(parts) > 1:
-            rank, at = min((self.merges.get((parts[i], parts[i + 1]), 1 << 60), i) for i in range(len(parts) - 1))
-            if rank == 1 << 60:
+            rank, at = min((self.merges.get((parts[i], parts[i + 1]), NEVER), i) for i in range(len(parts) - 1))
+            if rank == NEVER:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def reachable(self, token: bytes) -> bool:
-        """Whether the token is the encoding of its own bytes."""
-        if (ok := self.reached.get(token)) is None:
-            ok = self.reached[token] = self.merged(token) == [token]
-        return ok
-
-    def apart(self, left: bytes, right: bytes) -> bool:
-        """Whether no merge crosses the border between two finished tokens.
+    def apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether no merge crosses the border between two finished tokens, for each pair.
 
         Runs time backwards: undo the merge that made the younger border token, and see
         whether a merge across the border would have come before it. Of equal merges the
         left one comes first.
         """
-        never = (-1, b"", b"")
-        made_left, made_right = self.born.get(left, never), self.born.get(right, never)
-        before = 1 << 60
-        while True:
-            if self.merges.get((left, right), 1 << 60) < before:
-                return False
-            if made_left[0] < 0 and made_right[0] < 0:
-                return True
-            if made_left[0] > made_right[0]:
-                before, _, left = made_left
-                made_left = self.born.get(left, never)
-            else:
-                before, right, _ = made_right
-                before += 1
-                made_right = self.born.get(right, never)
-
-    def follows(self, left: bytes | None, right: bytes) -> bool:
-        if not self.reachable(right):
-            return False
-        if left is None:
-            return True
-        if (ok := self.pairs.get((left, right))) is None:
-            ok = self.apart(left, right)
-            if len(self.pairs) > 500_000:
-                self.pairs.clear()
-            self.pairs[left, right] = ok
-        return ok
-
-    def build(self, state: dict, byte: int) -> tuple[dict, int]:
-        """The transition of ``state`` on ``byte``: next state and change of the count."""
-        longest, chain = self.keys[id(state)]
-        tail = bytes([byte])
-        # chain[k]: (last token, count relative to here) at the k-th nested beginning.
-        begun = [longest[i:] + tail for i in self.nested(longest)]
-        last, more = next((w, rel + 1) for w, (left, rel) in zip(begun, chain, strict=True) if w in self.tokens and self.follows(left, w))
-        kept = [(w, (left, rel - more)) for w, (left, rel) in zip(begun, chain, strict=True) if w in self.begins]
-        target = self.state((kept[0][0] if kept else b"", (*(x for _, x in kept), (last, 0))))
-        state[byte] = target, more
-        return target, more
-
-    def nested(self, longest: bytes) -> list[int]:
-        """Offsets of the suffixes of ``longest`` that begin a token; the empty one last."""
-        if (found := self.suffixes.get(longest)) is None:
-            found = self.suffixes[longest] = [i for i in range(len(longest)) if longest[i:] in self.begins] + [len(longest)]
-        return found
-
-    def count(self, data: bytes) -> int:
-        state, n = self.start, 0
-        for b in data:
-            try:
-                state, more = state[b]
-            except KeyError:
-                state, more = self.build(state, b)
-            n += more
-        if len(self.states) > self.most:  # a cache of the determinised part, not a limit
-            self.restart()
-        return n
-
-
-class PretokenCounts(dict):
-    """Counts of pretokens met before; misses run the transducer."""
-
-    def __init__(self, transducer: MergeTransducer) -> None:
-        self.transducer = transducer
-
-    def __missing__(self, piece: str) -> int:
-        n = self.transducer.count(piece.encode("utf-8", "surrogatepass"))
-        if len(piece) <= 64:
-            if len(self) > 400_000:
-                self.clear()
-            self[piece] = n
-        return n
+        out = np.zeros(len(left), bool)
+        lane, before = np.arange(len(left)), np.full(len(left), NEVER)
+        while len(lane):
+            crossed = lookup(self.pairs, self.pair_ranks, left << 20 | right, NEVER) < before
+            made_left, made_right = self.rank[left], self.rank[right]
+            done = (made_left < 0) & (made_right < 0)
+            out[lane[done & ~crossed]] = True
+            undo = made_left > made_right
+            before = np.where(undo, made_left, made_right + 1)
+            left, right = np.where(undo, self.right[left], left), np.where(undo, right, self.left[right])
+            on = ~(crossed | done)
+            lane, left, right, before = lane[on], left[on], right[on], before[on]
+        return out
+
+    def follows(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether ``right`` may be the next token after ``left`` (-1: at the beginning)."""
+        for t in np.unique(right[self.whole[right] < 0]).tolist():
+            self.whole[t] = self.merged(self.text[t]) == [self.text[t]]
+        out = self.whole[right] > 0
+        ask = np.flatnonzero(out & (left >= 0))
+        key = left[ask] << 20 | right[ask]
+        slot = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+        fresh = np.flatnonzero(self.met[slot] != key)
+        if len(fresh):
+            new, at = np.unique(key[fresh], return_index=True)
+            fit = self.apart(new >> 20, new & 0xFFFFF)
+            known = self.fits[slot]
+            known[fresh] = fit[np.searchsorted(new, key[fresh])]
+            self.met[slot[fresh[at]]], self.fits[slot[fresh[at]]] = new, fit
+            # Of pairs that share a slot one is remembered; keep key and answer of the same one.
+            self.fits[slot[fresh[at]]] = lookup(new, fit, self.met[slot[fresh[at]]], 0).astype(bool)
+            out[ask] = known
+        else:
+            out[ask] = self.fits[slot]
+        return out
+
+    def step(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(state), np.int64)
+        lane = np.arange(len(state))
+        while len(lane):
+            found = lookup(self.edges, self.targets, state << 8 | byte, 0)
+            out[lane] = found
+            on = (found == 0) & (state > 0)
+            lane, state, byte = lane[on], self.shorter[state[on]], byte[on]
+        return out
+
+    def lanes(self, pieces: list[bytes]) -> np.ndarray:
+        """Counts of pretokens, all stepped side by side; the longest first."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        order = np.argsort(-sizes, kind="stable")
+        sizes = sizes[order]
+        flat = np.frombuffer(b"".join(pieces[i] for i in order.tolist()), np.uint8).astype(np.int64)
+        begin = np.cumsum(sizes) - sizes
+        register = begin + np.arange(len(sizes))  # one more place than bytes each
+        last, count = np.full(len(flat) + len(sizes), -1, np.int64), np.zeros(len(flat) + len(sizes), np.int64)
+        state = np.zeros(len(sizes), np.int64)
+        for j in range(int(sizes[0]) if len(sizes) else 0):
+            live = int(np.searchsorted(-sizes, -j, "left"))
+            state = self.step(state[:live], flat[begin[:live] + j])
+            here, node, lane = register[:live] + j + 1, self.longest[state], np.arange(live)
+            while len(lane):
+                if not node.all():
+                    raise ValueError("the vocabulary lacks a byte")
+                back = here[lane] - self.lengths[node]
+                token = self.token[node]
+                fit = self.follows(last[back], token)
+                at = here[lane[fit]]
+                last[at], count[at] = token[fit], count[back[fit]] + 1
+                lane, node = lane[~fit], self.next[node[~fit]]
+        out = np.zeros(len(sizes), np.int64)
+        out[order] = count[register + sizes]
+        return out
+
+    def alone(self, data: bytes) -> int:
+        """The count of one long pretoken, by the same transitions byte by byte."""
+        last, count, state = np.full(len(data) + 1, -1, np.int64), [0] * (len(data) + 1), 0
+        moves: dict[tuple[int, int], int] = {}
+        fits: dict[tuple[int, int], bool] = {}
+        for j, byte in enumerate(data, 1):
+            if (state, byte) not in moves:
+                moves[state, byte] = int(self.step(np.array([state]), np.array([byte]))[0])
+            state = moves[state, byte]
+            node = int(self.longest[state])
+            while True:
+                back, token = j - int(self.lengths[node]), int(self.token[node])
+                pair = int(last[back]), token
+                if pair not in fits:
+                    fits[pair] = bool(self.follows(last[back : back + 1], self.token[node : node + 1])[0])
+                if fits[pair]:
+                    break
+                node = int(self.next[node])
+            last[j], count[j] = token, count[back] + 1
+        return count[-1]
+
+    def counts(self, pieces: list[bytes]) -> np.ndarray:
+        out = np.zeros(len(pieces), np.int64)
+        short = [i for i, p in enumerate(pieces) if len(p) <= LANE]
+        out[short] = self.lanes([pieces[i] for i in short])
+        for i, p in enumerate(pieces):
+            if len(p) > LANE:
+                out[i] = self.alone(p)
+        return out
 
 
 class TokenCounter:
     """Whole-text token counts of a byte-level vocabulary file."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most_kept: int = 1_000_000) -> None:
         self.splitter = Splitter()
         self.transducer, self.special = MergeTransducer.of_file(path)
-        self.known = PretokenCounts(self.transducer)
+        self.known: dict[int, int] = {}  # hash of a pretoken -> its tokens
+        self.most_kept = most_kept
 
     def segments(self, text: str) -> list[str]:
         """The text between special strings, which are one token each."""
@@ -300,13 +358,28 @@ class TokenCounter:
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         ends = np.cumsum([len(p) + 1 for p in parts]) - 1
         begins = np.flatnonzero(self.splitter.boundaries(self.splitter.symbols(points, ends)))
-        cuts = begins.tolist()
-        counts = np.fromiter(map(self.known.__getitem__, [joined[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]), np.int64, len(cuts) - 1)
         is_end = np.zeros(len(points), bool)
         is_end[ends] = True
-        real = ~is_end[begins[:-1]]
-        which = np.searchsorted(ends, begins[:-1][real])
-        np.add.at(out, np.asarray(owner)[which], counts[real])
+        real = np.flatnonzero(~is_end[begins[:-1]])
+        starts, stops = begins[real], begins[real + 1]
+        up, down = powers(len(points) + 1)
+        sums = np.zeros(len(points) + 1, np.uint64)
+        np.cumsum(mix(points.astype(np.uint64) + np.uint64(1)) * up[: len(points)], out=sums[1:])
+        code, keys = pd.factorize(mix((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(np.uint64)))
+        if len(self.known) > self.most_kept:
+            self.known.clear()
+        names = keys.tolist()
+        counts = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(counts < 0)
+        if len(new):
+            some = np.zeros(len(names), np.int64)
+            some[code] = np.arange(len(code))  # a place of each distinct pretoken
+            a, b = starts[some[new]].tolist(), stops[some[new]].tolist()
+            counts[new] = self.transducer.counts([joined[x:y].encode("utf-8", "surrogatepass") for x, y in zip(a, b, strict=True)])
+            self.known.update(zip([names[i] for i in new.tolist()], counts[new].tolist(), strict=True))
+        done = np.concatenate([[0], np.cumsum(counts[code])])
+        each = np.diff(done[np.searchsorted(starts, np.concatenate([[0], ends]))])
+        np.add.at(out, np.asarray(owner), each)
 
 
 _counters: dict[str, TokenCounter] = {}

@@ -2,20 +2,23 @@
 
 1. A first pass hashes every text into its set of distinct shingles, names the set by a
    128-bit digest (equal sets are one node from here on) and fills a count sketch of all
-   shingles, 32 MB at most whatever the corpus.
+   shingles, of 16 MB whatever the corpus.
 2. The sketch orders shingles from rare to common. Sets that reach the threshold share a
    shingle among the first n - ceil(t n) + 1 of either, in any common order; only those
-   prefixes are shuffled. Inside a shingle's index list, sorted by set size, a jump below
-   the size ratio starts a new block, and blocks are skipped against each other. Lists
-   of common shingles are salted and their blocks stitched from (low, high) summaries.
-3. Blocks tie their sets into candidate groups (connected components, no pair is ever
-   written). Each group is joined exactly inside tasks; a large one as pairs of parts.
+   prefixes are shuffled. An entry's position bounds what the two sets can still share
+   from there on, hence the largest partner it can have. An index list sorted by set size
+   is skipped by that reach: an entry is tied to the one entry before it that reaches
+   furthest, if that reaches its size, and to none of the others. Lists of common shingles
+   are salted and their runs stitched from (low, reach) summaries.
+3. Ties make candidate groups (connected components, no pair is ever written). Each group
+   is joined exactly inside tasks; a large one as pairs of parts.
 4. Inside a task sets are ordered by size, so index lists are skipped to the size window
    by position, and the overlap counts of a set are derived from its similar
    predecessor's counts by the lists of the differing shingles alone.
 
 Texts are never cut, lists never capped; only the order depends on the sketch, not the
-answer. Shingles are 64-bit hashes, sets 128-bit digests.
+answer. Shingles are 64-bit hashes, sets 128-bit digests; candidate ties use half of the
+digest, where a chance agreement adds a candidate and no link.
 """
 
 from __future__ import annotations
@@ -29,12 +32,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import fan_out, stored
+from gridloom.llm.common import dropped, fan_out, stored, text_of
 from gridloom.llm.components import Forest, components
 from gridloom.llm.shingles import shingle_sets
 
-SKETCH_BITS = (20, 24)
-SKETCH_MOST = 65_535
+SKETCH_BITS = 22
 PIECE = 1 << 14
 BLOOM_BITS = 26
 
@@ -72,25 +74,20 @@ def summed(parts: DataFrame, length: int, dtype: str, combine) -> np.ndarray:
     return table
 
 
-def sketch_bits(text_bytes: int) -> int:
-    """A counter for about eight shingles, between 2^20 and 2^24 (32 MB) of them."""
-    return min(max((text_bytes // 48).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1])
+def sketch_places(own: np.ndarray) -> np.ndarray:
+    return (own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def sketch_places(own: np.ndarray, bits: int) -> np.ndarray:
-    return (own >> np.uint64(64 - bits)).astype(np.int64)
+def node_of(sig: bytes) -> int:
+    """The first half of a digest as a signed number."""
+    return int.from_bytes(sig[:8], "big", signed=True)
 
 
-def added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Sums of 16-bit counters, held at their largest value."""
-    return np.minimum(a.astype(np.uint32) + b, SKETCH_MOST).astype(np.uint16)
-
-
-def profile(docs: DataFrame, width: int, bits: int) -> DataFrame:
-    """Rows (id, n, sig) of all documents and, beside them, the sketch's packed parts."""
+def profile(docs: DataFrame, width: int) -> DataFrame:
+    """Rows (id, mark, n, sig) of all documents and, beside them, the sketch's packed parts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = np.zeros(1 << bits, np.uint16)
+        table = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
             n, sig, held, size = [], [], [], 0
             for own in shingle_sets(batch["text"].tolist(), width):
@@ -102,26 +99,30 @@ def profile(docs: DataFrame, width: int, bits: int) -> DataFrame:
                     count(table, held)
                     held, size = [], 0
             count(table, held)
-            yield pd.DataFrame({"id": batch["id"], "n": n, "sig": sig, "piece": -1, "packed": None})
+            yield pd.DataFrame({"id": batch["id"], "mark": batch["mark"], "n": n, "sig": sig, "piece": -1, "packed": None})
         rows = list(pieces(table))
-        yield pd.DataFrame({"id": pd.array([None] * len(rows), "Int64"), "n": 0, "sig": None, "piece": [p for p, _ in rows], "packed": [b for _, b in rows]})
+        yield pd.DataFrame({"id": pd.array([None] * len(rows), "Int64"), "mark": 0, "n": 0, "sig": None, "piece": [p for p, _ in rows], "packed": [b for _, b in rows]})
 
     def count(table: np.ndarray, held: list[np.ndarray]) -> None:
         if held:
-            at, more = np.unique(sketch_places(np.concatenate(held), bits), return_counts=True)
-            table[at] = added(table[at], more)
+            at, more = np.unique(sketch_places(np.concatenate(held)), return_counts=True)
+            table[at] += more.astype(np.uint32)
 
-    return docs.mapInPandas(run, "id long, n long, sig binary, piece long, packed binary")
+    return docs.mapInPandas(run, "id long, mark long, n long, sig binary, piece long, packed binary")
 
 
-def prefixes(docs: DataFrame, width: int, percent: int, sketch, bits: int, hot: int) -> DataFrame:
-    """(sig, n, shingles, parts): each set's prefix in the sketch's order, rare first.
+def prefixes(docs: DataFrame, width: int, percent: int, sketch, hot: int) -> DataFrame:
+    """(node, n, shingles, reach, parts): each set's prefix in the sketch's order, rare first.
 
-    ``parts`` is how many salts the shingle's index list is dealt over, 1 if not hot.
+    ``reach`` is the size of the largest set that this shingle could be the first common
+    one with; ``parts`` is how many salts the shingle's index list is dealt over, 1 if
+    its count does not stand out from what the sketch's places hold anyway.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = sketch.value
+        load = float(table.mean(dtype=np.float64))
+        usual = int(load + 6 * load**0.5)
         seen: set[bytes] = set()
         for batch in batches:
             out = []
@@ -131,47 +132,55 @@ def prefixes(docs: DataFrame, width: int, percent: int, sketch, bits: int, hot:
                 if len(seen) > 100_000:  # saves repeated rows only; they fall together later
                     seen.clear()
                 seen.add(sig)
-                common = table[sketch_places(own, bits)].astype(np.int32)
-                length = len(own) - -(-percent * len(own) // 100) + 1
-                first = np.lexsort((own, common))[:length]
-                first = first[common[first] > 1]  # met once: no other set has it
+                common = table[sketch_places(own)].astype(np.int64)
+                first = np.lexsort((own, common))[: len(own) - -(-percent * len(own) // 100) + 1]
+                reach = (len(own) - np.arange(len(first))) * (100 + percent) // percent - len(own)
+                met = common[first] > 1  # met once: no other set has it
+                first, reach = first[met], reach[met]
                 if len(first):
-                    out.append((sig, len(own), own[first].view(np.int64), (1 + common[first] // hot).astype(np.int32)))
+                    parts = 1 + np.maximum(0, common[first] - usual) // hot
+                    out.append((node_of(sig), len(own), own[first].view(np.int64), reach.astype(np.int32), parts.astype(np.int32)))
                 if len(out) >= 1000:
-                    yield pd.DataFrame(out, columns=["sig", "n", "shingles", "parts"])
+                    yield pd.DataFrame(out, columns=["node", "n", "shingles", "reach", "parts"])
                     out = []
-            yield pd.DataFrame(out, columns=["sig", "n", "shingles", "parts"])
+            yield pd.DataFrame(out, columns=["node", "n", "shingles", "reach", "parts"])
 
-    return docs.mapInPandas(run, "sig binary, n long, shingles array<long>, parts array<int>")
+    return docs.mapInPandas(run, "node long, n int, shingles array<long>, reach array<int>, parts array<int>")
 
 
 def candidate_edges(prefix: DataFrame, percent: int) -> DataFrame:
-    """(a, b): ties between sets that meet in a block of some index list."""
-    spark = prefix.sparkSession
-    rows = prefix.select("sig", "n", F.explode(F.arrays_zip("shingles", "parts")).alias("x")).select(
-        "sig",
+    """(a, b): ties between sets that meet in some index list, within each other's reach.
+
+    Two entries of sizes m <= n tie if n <= reach(m) and m <= reach(n). An entry whose
+    reach is below its own size meets smaller sets only. Entries before one of size n
+    that reach n are all tied to each other, so the furthest reaching of them stands for
+    all; that its size is within the later one's reach is not asked, which can only add
+    candidates.
+    """
+    rows = prefix.select("node", "n", F.explode(F.arrays_zip("shingles", "reach", "parts")).alias("x")).select(
+        "node",
         "n",
         F.col("x.shingles").alias("shingle"),
+        F.col("x.reach").alias("reach"),
         F.col("x.parts").alias("parts"),
-        F.pmod(F.hash("sig"), F.col("x.parts")).alias("part"),
+        F.pmod(F.hash("node"), F.col("x.parts")).alias("part"),
     )
-    dealt = rows.repartition(fan_out(spark), "shingle", "part").dropDuplicates(["shingle", "part", "sig"])
-    by_size = Window.partitionBy("shingle", "part").orderBy("n", "sig")
-    jump = F.coalesce(100 * F.lag("n").over(by_size) < percent * F.col("n"), F.lit(True))
-    blocked = (
-        dealt.withColumn("jump", jump)
-        .withColumn("head", F.last(F.when(F.col("jump"), F.col("sig")), ignorenulls=True).over(by_size))
-        .filter((F.col("parts") > 1) | (F.col("head") != F.col("sig")))
-        .select("shingle", "part", "parts", "sig", "n", "head")
-    )
-    blocked = stored(blocked, "blocks")
-    inside = blocked.filter("head <> sig").select(F.col("sig").alias("a"), F.col("head").alias("b"))
-    spans = blocked.filter("parts > 1").groupBy("shingle", "part", "head").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    along = Window.partitionBy("shingle").orderBy("low", "head")
-    before = along.rowsBetween(Window.unboundedPreceding, -1)
-    across = spans.withColumn("reach", F.max("high").over(before)).withColumn("prior", F.lag("head").over(along))
-    across = across.filter(100 * F.col("reach") >= percent * F.col("low")).filter("head <> prior").select(F.col("head").alias("a"), F.col("prior").alias("b"))
-    return inside.unionAll(across).distinct()
+    # In a salted list any entry may be the one that meets another part's entry.
+    rows = rows.withColumn("reach", F.when(F.col("parts") > 1, F.greatest("reach", "n")).otherwise(F.col("reach")))
+    dealt = rows.repartition(fan_out(prefix.sparkSession), "shingle", "part")
+    by_size = Window.partitionBy("shingle", "part").orderBy("n", F.col("reach").desc(), "node")
+    prior = F.max(F.when(F.col("reach") >= F.col("n"), F.struct("reach", "node"))).over(by_size.rowsBetween(Window.unboundedPreceding, -1))
+    ties = dealt.withColumn("prior", prior).withColumn("tied", F.coalesce(F.col("prior.reach") >= F.col("n"), F.lit(False)))
+    ties = ties.withColumn("head", F.last(F.when(~F.col("tied"), F.col("node")), ignorenulls=True).over(by_size))
+    ties = ties.filter("parts > 1 OR (tied AND prior.node <> node)").select("shingle", "part", "parts", "node", "n", "reach", "head", "tied", F.col("prior.node").alias("to"))
+    ties = stored(ties, "ties")
+    inside = ties.filter("tied AND to <> node").select(F.col("node").alias("a"), F.col("to").alias("b"))
+    runs = ties.filter("parts > 1").groupBy("shingle", "part", "head").agg(F.min("n").alias("low"), F.max("reach").alias("reach"))
+    along = Window.partitionBy("shingle").orderBy("low", "head", "part").rowsBetween(Window.unboundedPreceding, -1)
+    across = runs.withColumn("prior", F.max(F.struct("reach", "head")).over(along)).filter("prior.reach >= low AND prior.head <> head")
+    edges = stored(inside.unionAll(across.select(F.col("head").alias("a"), F.col("prior.head").alias("b"))).distinct(), "candidates")
+    dropped(ties)
+    return edges
 
 
 def exact_links(sigs: list[bytes], sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
@@ -265,24 +274,34 @@ def ngram_join(
       non-null id, or null if there is none;
     * an empty table gives no rows; other columns are ignored, whatever their names.
     """
+    judged = classes_of(docs, id_col, text_col, width, percent, part_size, hot)
+    return judged.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def classes_of(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, part_size: int, hot: int) -> DataFrame:
+    """(id, mark, n, sig, component_id, chosen) of every row.
+
+    ``mark`` is a hash of the text; ``chosen`` says that the row has the id and mark that
+    stand for its class (the smallest, null ids last), or stands alone without words.
+    """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    bits = sketch_bits(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    first = stored(profile(rows, width, bits), "profile")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_of(text_col)).alias("mark"))
+    first = stored(profile(rows, width), "profile")
     nodes = first.filter("piece < 0")
-    named = nodes.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("id").alias("least"), F.max("n").alias("n"))
-    table = summed(first.filter("piece >= 0"), 1 << bits, "uint16", added)
-    sketch = spark.sparkContext.broadcast(table)  # 32 MB at most, whatever the corpus
+    own = F.struct(F.col("id").isNull().alias("unnamed"), "id", "mark")
+    named = nodes.filter("sig IS NOT NULL").groupBy("sig").agg(F.min(own).alias("least"), F.max("n").alias("n"))
+    table = summed(first.filter("piece >= 0"), 1 << SKETCH_BITS, "uint32", np.add)
+    sketch = spark.sparkContext.broadcast(table)  # 16 MB, whatever the corpus
 
-    edges = candidate_edges(prefixes(rows, width, percent, sketch, bits, hot), percent)
+    edges = candidate_edges(prefixes(rows, width, percent, sketch, hot), percent)
     groups = stored(components(edges), "groups")
+    dropped(edges)
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = np.zeros(1 << (BLOOM_BITS - 3), np.uint8)
         for batch in batches:
-            for sig in batch["node"]:
-                at = int.from_bytes(sig[:8], "little") >> (64 - BLOOM_BITS)
-                table[at >> 3] |= 1 << (at & 7)
+            at = batch["node"].to_numpy(np.int64).view(np.uint64) >> np.uint64(64 - BLOOM_BITS)
+            np.bitwise_or.at(table, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
         rows = list(pieces(table))
         yield pd.DataFrame({"piece": [p for p, _ in rows], "packed": [b for _, b in rows]}).astype({"piece": "int64"})
 
@@ -296,19 +315,20 @@ def ngram_join(
             for own in shingle_sets(batch["text"].tolist(), width):
                 if not len(own) or (sig := digest(own)) in seen:
                     continue
-                at = int.from_bytes(sig[:8], "little") >> (64 - BLOOM_BITS)
+                at = (node_of(sig) % (1 << 64)) >> (64 - BLOOM_BITS)
                 if table[at >> 3] >> (at & 7) & 1:
                     if len(seen) > 100_000:
                         seen.clear()
                     seen.add(sig)
-                    out.append((sig, own.tobytes()))
+                    out.append((node_of(sig), sig, own.tobytes()))
                 if len(out) >= 1000:
-                    yield pd.DataFrame(out, columns=["sig", "shingles"])
+                    yield pd.DataFrame(out, columns=["own", "sig", "shingles"])
                     out = []
-            yield pd.DataFrame(out, columns=["sig", "shingles"])
+            yield pd.DataFrame(out, columns=["own", "sig", "shingles"])
 
-    sets = rows.mapInPandas(grouped_sets, "sig binary, shingles binary")
-    sized = groups.join(named.select(F.col("sig").alias("s"), "n"), F.col("node") == F.col("s"))
+    sets = rows.mapInPandas(grouped_sets, "own long, sig binary, shingles binary")
+    half = F.conv(F.hex(F.substring("sig", 1, 8)), 16, -10).cast("long")
+    sized = groups.join(named.select(half.alias("s"), "n"), F.col("node") == F.col("s"))
     sizes = stored(sized.groupBy("component").agg(F.sum("n").alias("shingles")), "group-sizes")
     total = sizes.agg(F.sum(F.when(F.col("shingles") <= part_size, F.col("shingles")))).first()[0] or 0
     shelves = max(1, 2 * total // part_size)
@@ -325,24 +345,32 @@ def ngram_join(
         ),
     )
     placed = placed.select("node", F.explode(F.when(F.col("parts") == 1, shelf).otherwise(pair)).alias("g"))
-    members = sets.join(placed, F.col("sig") == F.col("node")).select("g.grp", "g.side", "sig", "shingles")
+    members = sets.join(placed, F.col("own") == F.col("node")).select("g.grp", "g.side", "sig", "shingles")
     # Written first: two Python steps in one stage would double an executor's workers.
-    links = components(stored(join_groups(members, percent), "links"))
-
-    classes = (
-        named.join(links, F.col("sig") == F.col("node"), "left")
-        .select("sig", "least", F.coalesce("component", "sig").alias("class"))
-    )
-    lowest = classes.groupBy("class").agg(F.min("least").alias("component_id")).withColumnRenamed("class", "k")
-    answer = classes.join(lowest, F.col("class") == F.col("k")).select(F.col("sig").alias("s"), "component_id")
-    return nodes.join(answer, F.col("sig") == F.col("s"), "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")
-    )
-
-
-def distinct_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows whose id is their component's smallest, with all their columns."""
-    joined = ngram_join(docs, id_col, text_col, **options)
-    stay = joined.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_stay")).distinct()
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[id_col].alias("_id"))
-    return rows.join(stay, F.col("_id").eqNullSafe(F.col("_stay")), "left_semi").select("_row.*")
+    found = stored(join_groups(members, percent), "links")
+    links = stored(components(found), "classes")
+    for done in (found, groups, sizes):
+        dropped(done)
+
+    classes = named.join(links, F.col("sig") == F.col("node"), "left").select("sig", "least", F.coalesce("component", "sig").alias("class"))
+    lowest = classes.groupBy("class").agg(F.min("least").alias("best")).withColumnRenamed("class", "k")
+    answer = classes.join(lowest, F.col("class") == F.col("k")).select(F.col("sig").alias("s"), "best")
+    chosen = F.col("sig").isNull() | (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("mark") == F.col("best.mark")))
+    return nodes.join(answer, F.col("sig") == F.col("s"), "left").select("id", "mark", "n", "sig", F.coalesce("best.id", "id").alias("component_id"), chosen.alias("chosen"))
+
+
+def distinct_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, part_size: int = 250_000, hot: int = 4096) -> DataFrame:
+    """One row of every class of linked rows, with all its columns.
+
+    * the row with the smallest id stays, a null id only if the class has no other; of
+      rows of that id, those with one text stay, and one of them if they are equal;
+    * rows without words (null, empty, white space) are linked with nothing: all stay;
+    * long texts are compared whole; an empty table gives no rows; columns of any name,
+      nulls in them included, come through as they are.
+    """
+    judged = classes_of(docs, id_col, text_col, width, percent, part_size, hot).filter("chosen")
+    stay = judged.select(F.col("id").alias("_s_id"), F.col("mark").alias("_s_mark"), F.col("sig").isNotNull().alias("_worded")).distinct()
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[id_col].cast("long").alias("_id"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("_mark"))
+    kept = rows.join(stay, F.col("_id").eqNullSafe(F.col("_s_id")) & (F.col("_mark") == F.col("_s_mark")))
+    worded = kept.filter("_worded").dropDuplicates(["_id", "_mark"])
+    return worded.unionAll(kept.filter("NOT _worded")).select("_row.*")

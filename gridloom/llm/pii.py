@@ -2,15 +2,18 @@
 
 Candidates are the strict matches of four patterns and, beside them, looser spellings
 (obfuscated addresses, telephone numbers without a plus, long addresses, dotted card
-numbers). Four labelers vote on each: the strict pattern, a gazetteer (top-level domains,
-dialling codes, address ranges, issuer prefixes), the words before it, and its shape.
-Expectation-maximisation over the counts of equal vote patterns estimates each labeler's
-reliability for each kind; its soft labels then train the final span classifier, a naive
-Bayes over votes, origin and length. Strict matches stay as they are; the classifier
+numbers). Four labelers vote on each: a regex of the usual spellings, which holds for
+some strict and some loose matches and against others, a gazetteer (top-level domains,
+dialling codes, address ranges, issuer prefixes), the words before it, and its digits and
+signs. Expectation-maximisation over the counts of equal vote patterns estimates each
+labeler's reliability for each kind. Its soft labels train the final span classifier, a
+naive Bayes over what the labelers do not look at: the span's length, the character
+shapes at its beginning and end, its shape as a whole, and the neighbouring words. Strict
+matches stay as they are; the classifier, with the labelers' posterior as its prior,
 decides which looser candidates are added.
 
-Texts are read once. What follows works on candidate arrays and on the table of vote
-patterns, which has at most a few thousand rows whatever the corpus.
+Texts are read once. What follows works on candidate arrays and on tables of counts by
+votes and feature value, which have a bounded number of rows whatever the corpus.
 """
 
 from __future__ import annotations
@@ -50,7 +53,15 @@ CONTEXT = {
     "phone": r"(?i)\b(?:tel|phone|call|fax|mobile|cell|ring)\b",
 }
 AGAINST = r"(?i)\b(?:version|isbn|issn|order|serial|sku|build|rev)\b[^.]{0,12}$"
+USUAL = {
+    "email": r"(?i)^[a-z][a-z0-9]*(?:[._-][a-z0-9]+)*(?:@|\x20?[(\[]at[)\]]\x20?)[a-z0-9-]+(?:(?:\.|\x20?[(\[]dot[)\]]\x20?|\x20\.\x20?)[a-z0-9-]+)*(?:\.|[)\]]\x20?)[a-z]{2,}$",
+    "ip": r"^(?:(?:[1-9][0-9]?|1[0-9]{2}|2[0-4][0-9]|25[0-5])\.(?:(?:0|[1-9][0-9]?|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.|$)){3}|(?=.*[A-Fa-f])[0-9A-Fa-f:]+)$",
+    "card": r"^(?:[0-9]{13,16}|[0-9]{4}([\x20._/-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,4}|[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{5})$",
+    "phone": r"^(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)[\x20]?|[0-9]{2,4}[\x20.-])[0-9]{2,4}(?:[\x20.-][0-9]{2,4}){0,3}$",
+}
 LABELERS = ("regex", "gazetteer", "context", "shape")
+#: The classifier's features and how many values each has.
+FEATURES = {"length": 5, "head": 64, "tail": 64, "form": 128, "word_before": 256, "word_after": 256}
 BEFORE = 40
 BLOCK = 64
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
@@ -109,8 +120,33 @@ def block_starts(lengths: Column) -> Column:
     return F.transform(blocks, lambda b: total(F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK))))
 
 
+def usual(kind: str, m: Column) -> Column:
+    return F.when(F.length(m) > 254, -1).when(m.rlike(USUAL[kind]), 1).otherwise(-1)
+
+
+def form_of(m: Column) -> Column:
+    """The first 64 characters with 9, A and a for digits, capitals and small letters."""
+    return F.regexp_replace(F.regexp_replace(F.translate(F.substr(m, F.lit(1), F.lit(64)), "012345678", "999999999"), "[A-Z]", "A"), "[a-z]", "a")
+
+
+def features(m: Column, form: Column, before: Column, after: Column) -> Column:
+    """One small number for each of ``FEATURES``: buckets of hashes of shapes and words."""
+    runs = F.regexp_replace(form, r"(.)\1+", "$1+")
+    word = lambda c, pattern: F.lower(F.regexp_extract(c, pattern, 0))
+    near = F.substr(before, F.greatest(F.lit(1), F.length(before) - BEFORE + 1))
+    texts = {
+        "head": F.substr(form, F.lit(1), F.lit(3)),
+        "tail": F.substr(form, F.greatest(F.lit(1), F.length(form) - 2)),
+        "form": runs,
+        "word_before": word(near, r"[\p{L}\p{N}]+(?=[^\p{L}\p{N}]*$)"),
+        "word_after": word(F.substr(after, F.lit(1), F.lit(BEFORE)), r"[\p{L}\p{N}]+"),
+    }
+    buckets = [F.pmod(F.xxhash64(texts[name]), F.lit(n)).cast("int") for name, n in FEATURES.items() if name != "length"]
+    return F.array(F.least(F.floor(F.length(m) / 8), F.lit(FEATURES["length"] - 1)).cast("int"), *buckets)
+
+
 def candidates(kind: str, strict: bool, found: Column, gaps: Column, sizes: Column, blocks: Column) -> Column:
-    """Spans with votes from the matches and the texts between them.
+    """Spans with votes and features from the matches and the texts between them.
 
     ``sizes`` has the length of each text between with its match, ``blocks`` the sums of
     blocks of them: a start takes two short sums, so many matches stay affordable.
@@ -118,33 +154,40 @@ def candidates(kind: str, strict: bool, found: Column, gaps: Column, sizes: Colu
     index = F.sequence(F.lit(0), F.size(found) - 1)
     k = KINDS.index(kind)
 
-    def span(i: Column) -> Column:
-        m, gap = F.get(found, i), F.get(gaps, i)
+    def own(i: Column) -> Column:
+        return F.struct(i.alias("i"), F.get(found, i).alias("m"), F.get(gaps, i).alias("gap"), F.coalesce(F.get(gaps, i + 1), F.lit("")).alias("after"))
+
+    def span(x: Column) -> Column:
+        m, gap, i = x["m"], x["gap"], x["i"]
         block = F.floor(i / BLOCK).cast("int")
         start = total(F.slice(blocks, F.lit(1), block)) + total(F.slice(sizes, block * BLOCK + 1, i % BLOCK)) + F.length(gap)
-        votes = [F.lit(1 if strict else 0), gazetteer(kind, m), context(kind, gap), shape(kind, m)]
-        size = F.least(F.floor(F.length(m) / 8), F.lit(4)).cast("int")
         code = F.lit(0)
-        for v in votes:
+        for v in (usual(kind, m), gazetteer(kind, m), context(kind, gap), shape(kind, m)):
             code = code * 3 + (v + 1)
         return F.struct(
             start.cast("long").alias("start"),
             F.lit(k).alias("kind"),
-            (start + F.length(m)).cast("long").alias("end"),
+            F.length(m).alias("length"),
             F.lit(strict).alias("base"),
-            ((code * 2 + int(strict)) * 5 + size).cast("int").alias("code"),
+            code.cast("int").alias("code"),
+            features(m, x["form"], gap, x["after"]).alias("features"),
             (valid(kind, m) if strict else F.lit(True)).alias("stands"),
         )
 
-    return F.when(F.size(found) > 0, F.filter(F.transform(index, span), lambda x: x["stands"])).otherwise(F.array().cast(SPANS))
+    def closed(x: Column) -> Column:
+        return F.struct(x["start"].alias("start"), x["kind"].alias("kind"), (x["start"] + x["length"]).alias("end"), *[x[c].alias(c) for c in ("base", "code", "features", "stands")])
 
+    # Step by step, so that each part is computed once.
+    opened = F.transform(F.transform(index, own), lambda x: x.withField("form", form_of(x["m"])))
+    return F.when(F.size(found) > 0, F.transform(F.filter(F.transform(opened, span), lambda x: x["stands"]), closed)).otherwise(F.array().cast(SPANS))
 
-SPANS = "array<struct<start:bigint,kind:int,end:bigint,base:boolean,code:int,stands:boolean>>"
+
+SPANS = "array<struct<start:bigint,kind:int,end:bigint,base:boolean,code:int,features:array<int>,stands:boolean>>"
 
 
 def vote_of(code: Column, j: int) -> Column:
     """The j-th labeler's vote, 0 to 2."""
-    return (F.floor(code / (10 * 3 ** (len(LABELERS) - 1 - j))) % 3).cast("int")
+    return (F.floor(code / 3 ** (len(LABELERS) - 1 - j)) % 3).cast("int")
 
 
 def reliabilities(patterns: DataFrame, rounds: int = 8) -> tuple[list, list]:
@@ -186,24 +229,37 @@ def posterior(prior: list, table: list) -> Column:
     return 1 / (1 + F.exp(-odds))
 
 
-def span_classifier(patterns: DataFrame, prior: list, table: list) -> DataFrame:
-    """(kind, code, p): the final classifier's probability of every pattern.
+def span_classifier(counts: DataFrame, prior: list, table: list) -> dict[tuple[int, int], list[float]]:
+    """Log-odds of every feature value for each (kind, feature): a naive Bayes.
 
-    Naive Bayes over the votes, origin and length class, trained on the soft labels.
+    counts: (kind, code, feature, value, n). Trained on the soft labels, smoothed towards
+    no evidence; the result has a number for each kind and value of ``FEATURES``.
     """
-    soft = patterns.withColumn("t", F.col("n") * posterior(prior, table))
-    features = [vote_of(F.col("code"), j).alias(f"f{j}") for j in range(len(LABELERS))] + [
-        (F.floor(F.col("code") / 5) % 2).cast("int").alias("f4"),
-        (F.col("code") % 5).alias("f5"),
-    ]
-    flat = soft.select("kind", "code", "n", "t", F.posexplode(F.array(*features)).alias("feature", "value"))
-    rates = flat.groupBy("kind", "feature", "value").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
-    totals = soft.groupBy("kind").agg(F.sum("t").alias("all_t"), F.sum("n").alias("all_n"))
-    weight = F.log((F.col("t") + 1) / (F.col("all_t") + 5)) - F.log((F.col("n") - F.col("t") + 1) / (F.col("all_n") - F.col("all_t") + 5))
-    weights = rates.join(totals, "kind").select("kind", "feature", "value", weight.alias("w"))
-    base = totals.select("kind", F.log((F.col("all_t") + 1) / (F.col("all_n") - F.col("all_t") + 1)).alias("bias"))
-    score = flat.join(weights, ["kind", "feature", "value"]).groupBy("kind", "code").agg(F.sum("w").alias("w"))
-    return score.join(base, "kind").select("kind", "code", (1 / (1 + F.exp(-(F.col("w") + F.col("bias"))))).alias("p"))
+    soft = counts.withColumn("t", F.col("n") * posterior(prior, table))
+    sums = soft.groupBy("kind", "feature", "value").agg(F.sum("t").alias("t"), F.sum("n").alias("n")).collect()
+    sizes = list(FEATURES.values())
+    weights = {(k, f): [0.0] * n for k in range(len(KINDS)) for f, n in enumerate(sizes)}
+    for k, f in weights:
+        own = [r for r in sums if (r["kind"], r["feature"]) == (k, f)]
+        true, false = sum(r["t"] for r in own), sum(r["n"] - r["t"] for r in own)
+        for r in own:  # a value's share of true and false spans, each with one observation spread by size
+            part = r["n"] / (true + false)
+            weights[k, f][r["value"]] = math.log((r["t"] + part) / (true + 1)) - math.log((r["n"] - r["t"] + part) / (false + 1))
+    return weights
+
+
+def classified(kind: Column, code: Column, values: Column, prior: list, table: list, weights: dict) -> Column:
+    """P(personal data) of a candidate: the labelers' log-odds and the classifier's weights."""
+    odds = F.lit(0.0)
+    for k in range(len(KINDS)):
+        own = F.lit(math.log(prior[k] / (1 - prior[k])))
+        for j in range(len(LABELERS)):
+            ratio = F.array(*[F.lit(math.log(table[k][j][0][v] / table[k][j][1][v])) for v in range(3)])
+            own = own + F.get(ratio, vote_of(code, j))
+        for f in range(len(FEATURES)):
+            own = own + F.get(F.array(*[F.lit(w) for w in weights[k, f]]), F.get(values, F.lit(f)))
+        odds = F.when(kind == k, own).otherwise(odds)
+    return 1 / (1 + F.exp(-odds))
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.9) -> DataFrame:
@@ -213,7 +269,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
       ones (probability of at least ``least``, not overlapping a strict span), each as
       kind:start:end in code points, end exclusive, by start, then kind;
     * null and empty texts have none; texts of any length are read whole; repeated rows
-      are reported each; an empty table gives no rows; other columns are ignored.
+      and null ids are reported each; an empty table gives no rows; other columns are
+      ignored, whatever their names; spans of one start are ordered by kind, then end.
     """
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     digit = F.col("text").rlike("[0-9]")
@@ -232,18 +289,17 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     parts = [candidates(kind, name[0] == "m", *[F.col(f"{x}{name}") for x in ("", "g_", "s_", "b_")]) for kind in KINDS for name in (f"m_{kind}", f"l_{kind}")]
     spans = stored(rows.select("id", F.concat(*parts).alias("spans")), "spans")
 
-    patterns = stored(spans.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.code").agg(F.count(F.lit(1)).alias("n")).coalesce(1), "votes")
+    each = spans.select(F.explode("spans").alias("s"))
+    patterns = stored(each.groupBy("s.kind", "s.code").agg(F.count(F.lit(1)).alias("n")).coalesce(1), "votes")
     prior, table = reliabilities(patterns)
-    judged = span_classifier(patterns, prior, table).filter(F.col("p") >= least)
-    # At most 4 kinds x 810 codes: a fixed bound.
-    good = sorted(r["kind"] * 10_000 + r["code"] for r in judged.collect())
-    accepted = F.array(*[F.lit(g) for g in good]).cast("array<int>")
+    flat = each.select("s.kind", "s.code", F.posexplode("s.features").alias("feature", "value"))
+    weights = span_classifier(flat.groupBy("kind", "code", "feature", "value").agg(F.count(F.lit(1)).alias("n")), prior, table)
     strict = F.filter("spans", lambda s: s["base"])
     kept = F.filter(
         "spans",
         lambda s: s["base"]
         | (
-            F.array_contains(accepted, s["kind"] * 10_000 + s["code"])
+            (classified(s["kind"], s["code"], s["features"], prior, table, weights) >= least)
             & ~F.exists("strict", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
         ),
     )

@@ -4,14 +4,18 @@ Texts are read as words of letters, lower-cased, between single boundaries. For
 language the model of order four keeps, in arrays sorted by a bijective hash of the
 n-gram, the counts of the highest order, the continuation counts of the lower ones, and
 for every context its total and its number of followers. A text is scored whole by every
-language's model; the lowest length-normalised cross-entropy wins. A text is rejected if
-its cross-entropy lies above what documents of the winning language show on a calibration
-fold, by a margin that narrows with the number of scored characters.
+language's model; the lowest length-normalised cross-entropy wins.
+
+Rejection is calibrated on a fold that trained no model. A text's excess over the
+language's median cross-entropy, divided by what varies between texts of its length (a
+part that shrinks with the root of the scored characters, and one that does not), is
+compared with the quantile of the calibration texts' excesses that leaves a share of
+``false_rejection`` of them out, times ``slack``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -157,11 +161,13 @@ class Identifier:
     models: list[KneserNey]
     centre: np.ndarray
     spread: np.ndarray
-    deviations: float = 8.0
-    margin: float = 0.75
+    floor: np.ndarray
+    limit: np.ndarray
 
-    def limits(self, best: np.ndarray, length: np.ndarray) -> np.ndarray:
-        return self.centre[best] + self.margin + self.deviations * self.spread[best] / np.sqrt(np.maximum(length, 1))
+    def excess(self, entropy: np.ndarray, best: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """How far above the language's median a text lies, in what is usual at its length."""
+        usual = np.sqrt(self.floor[best] ** 2 + self.spread[best] ** 2 / np.maximum(length, 1))
+        return (entropy - self.centre[best]) / usual
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -177,22 +183,45 @@ def counted(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_language: int, calibration_docs: int) -> Identifier | None:
+def train(
+    docs: DataFrame,
+    id_col: str,
+    text_col: str,
+    lang_col: str,
+    docs_per_language: int = 2000,
+    calibration_docs: int = 1000,
+    chars_per_language: int = 8_000_000,
+    most_languages: int = 500,
+    false_rejection: float = 0.002,
+    slack: float = 2.0,
+    wanted: Sequence[str] | None = None,
+) -> Identifier | None:
     """Models of every language, from whole texts of a bounded sample of labelled rows.
 
-    About ``docs_per_language`` documents of folds 1 to 3 train a language and about
+    About ``docs_per_language`` documents of folds 1 to 3 train a language, or as many
+    as have about ``chars_per_language`` characters if that is less, and about
     ``calibration_docs`` of fold 4 calibrate it; rows are picked by a hash of the id, at
-    a rate from the language's counts over all rows.
+    a rate from the language's counts over all rows. These bounds and ``most_languages``
+    bound what the driver gathers (an error beyond that many). Languages that are not
+    ``wanted`` compete too, but their texts are rejected; None wants all.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), fold(id_col).alias("fold"))
     rows = rows.filter("fold > 0 AND text IS NOT NULL AND lang IS NOT NULL")
-    sizes = {r["lang"]: r for r in rows.groupBy("lang").agg(F.count_if(F.col("fold") < 4).alias("train"), F.count_if(F.col("fold") == 4).alias("check")).collect()}
+    counts = rows.groupBy("lang").agg(
+        F.count_if(F.col("fold") < 4).alias("train"), F.count_if(F.col("fold") == 4).alias("check"), F.sum(F.when(F.col("fold") < 4, F.length("text"))).alias("chars")
+    )
+    sizes = {r["lang"]: r for r in counts.orderBy("lang").limit(most_languages + 1).collect()}
+    if len(sizes) > most_languages:
+        raise ValueError(f"more than {most_languages} languages to learn")
     languages = sorted(k for k, r in sizes.items() if r["train"])
     if not languages:
         return None
-    share = lambda most, n: min(1 << 20, (most << 20) // max(1, n))
-    rates = spark.createDataFrame([(k, share(docs_per_language, sizes[k]["train"]), share(calibration_docs, sizes[k]["check"])) for k in languages], "l string, rate long, check_rate long")
+    share = lambda most, n: min(1 << 20, (most << 20) // max(1, n or 0))
+    rates = spark.createDataFrame(
+        [(k, min(share(docs_per_language, sizes[k]["train"]), share(chars_per_language, sizes[k]["chars"])), share(calibration_docs, sizes[k]["check"])) for k in languages],
+        "l string, rate long, check_rate long",
+    )
     drawn = rows.join(F.broadcast(rates), F.col("lang") == F.col("l")).withColumn("draw", F.pmod(F.xxhash64("id", F.lit("draw")), F.lit(1 << 20)))
     learn = counted(drawn.filter("fold < 4 AND draw < rate").select("lang", "text"))
     table = learn.toPandas()
@@ -215,12 +244,24 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_l
             h = entropy[np.arange(len(at)), at]
             yield pd.DataFrame({"lang": batch["lang"][fine], "h": h[fine], "n": length[fine]})
 
-    checked = drawn.filter("fold = 4 AND draw < check_rate").select("lang", "text").mapInPandas(calibrate, "lang string, h double, n long")
-    centres = {r["lang"]: r["c"] for r in checked.groupBy("lang").agg(F.percentile("h", F.lit(0.5)).alias("c")).collect()}
-    wide = F.create_map(*[x for k, v in centres.items() for x in (F.lit(k), F.lit(v))]) if centres else None
-    spreads = {} if wide is None else {r["lang"]: r["s"] for r in checked.groupBy("lang").agg(F.percentile(F.abs(F.col("h") - wide[F.col("lang")]) * F.sqrt("n"), F.lit(0.5)).alias("s")).collect()}
-    highest = float(np.log(1 << WIDTH))  # a language without calibration rows rejects nothing
-    return Identifier(kept, models, np.array([centres.get(k, highest) for k in kept]), np.array([1.4826 * spreads.get(k, 0.0) for k in kept]))
+    # About calibration_docs rows a language, two numbers each.
+    checked = drawn.filter("fold = 4 AND draw < check_rate").select("lang", "text").mapInPandas(calibrate, "lang string, h double, n long").toPandas()
+    n = len(kept)
+    model = Identifier(kept, models, np.full(n, np.log(1 << WIDTH)), np.zeros(n), np.ones(n), np.full(n, np.inf))  # not calibrated: rejects nothing
+    for i, lang in enumerate(kept):
+        own = checked[checked["lang"] == lang]
+        if len(own):
+            h, length = own["h"].to_numpy(), own["n"].to_numpy(np.float64)
+            model.centre[i] = np.median(h)
+            off = np.abs(h - model.centre[i])
+            model.spread[i] = 1.4826 * np.median(off * np.sqrt(length))
+            longer = off[length >= np.median(length)]
+            model.floor[i] = max(1.4826 * np.median(longer), 0.02)
+            excess = model.excess(h, np.full(len(h), i), length)
+            model.limit[i] = slack * max(1.0, np.quantile(excess, 1 - false_rejection))
+        if wanted is not None and lang not in set(wanted):
+            model.limit[i] = -np.inf
+    return model
 
 
 VERDICT = "lang_pred string, score double, cross_entropy double, accepted boolean"
@@ -244,31 +285,25 @@ def verdict_of(docs: DataFrame, model: Identifier | None):
                 real = length > 0
                 pred[real] = np.array(own.languages, object)[best[real]]
                 score[real], lowest[real] = (1 / odds.sum(axis=1))[real], low[real]
-                accepted = real & (low <= own.limits(best, length))
+                accepted = real & (own.excess(low, best, length) <= own.limit[best])
             yield pd.DataFrame({"lang_pred": pred, "score": score, "cross_entropy": lowest, "accepted": accepted})
 
     return verdict
 
 
-def identify(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    lang_col: str = "lang",
-    docs_per_language: int = 2000,
-    calibration_docs: int = 500,
-) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
     """One row per input row: id, held_out, lang_pred, score, cross_entropy, accepted.
 
-    * learns only from rows with text, id and language outside fold 0;
+    * learns only from rows with text, id and language outside fold 0 (``train`` has the
+      options);
     * ``und``, score 0, not accepted: the text is null or has no letter, or no language
       could be learned; the score is the winner's share among the languages, by
       likelihood of up to 64 characters;
     * whole texts of any length are scored; repeated rows get the same answer; equal
       cross-entropies go to the first language by code point; a null id is not held
-      out; an empty table gives no rows; other columns are ignored.
+      out; an empty table gives no rows; other columns are ignored, whatever their names.
     """
-    model = train(docs, id_col, text_col, lang_col, docs_per_language, calibration_docs)
+    model = train(docs, id_col, text_col, lang_col, **options)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(fold(id_col) == 0, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
     judged = rows.select("id", "held_out", verdict_of(docs, model)("text").alias("v"))
     return judged.select(
@@ -276,8 +311,15 @@ def identify(
     )
 
 
-def accepted_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 2000, calibration_docs: int = 500) -> DataFrame:
-    """The rows, with all their columns, whose language is accepted."""
-    model = train(docs, id_col, text_col, lang_col, docs_per_language, calibration_docs)
+def accepted_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
+    """The rows, with all their columns, whose language is learned, wanted and accepted.
+
+    * rows whose text is null, empty or without a letter go, and so do all rows where no
+      language could be learned;
+    * rows that repeat stay or go together; null ids, languages and sources are no
+      reason to go; long texts are scored whole; an empty table gives no rows; columns
+      of any name come through as they are.
+    """
+    model = train(docs, id_col, text_col, lang_col, **options)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), verdict_of(docs, model)(docs[text_col]).alias("_v"))
     return rows.filter("_v.accepted").select("_row.*")

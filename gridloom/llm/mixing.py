@@ -7,8 +7,9 @@ repeats whole epochs first.
 
 The prefix sums never bring a source to one task. The hash key is cut into equal
 buckets, a bucket's subtotal comes from a map-side combined aggregate, the subtotals of
-one source are summed along the buckets, and each document adds its place inside its
-bucket. The number of buckets per source follows the source's number of documents, so a
+one source are summed along the buckets in two levels (inside shelves of ``SHELF``
+buckets, then along the shelves), and each document adds its place inside its bucket. The
+number of buckets per source follows the source's number of documents, so a
 bucket holds about ``bucket_docs`` documents whatever the source's share.
 """
 
@@ -22,6 +23,10 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import WORD, stored, text_of
 
 
+#: Buckets that are summed in one task.
+SHELF = 4096
+
+
 def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
@@ -80,7 +85,9 @@ def mix_sources(
     * null text has size 0 and is never taken; a null source is a source;
     * an empty table gives no rows; other columns are ignored, whatever their names.
     """
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    # Rows without an id are told apart by their text.
+    name = F.coalesce(F.col(id_col).cast("string"), F.xxhash64(text_of(text_col)).cast("string") if text_col in docs.columns else F.lit(""))
+    key = F.md5(F.concat_ws(":", F.lit(seed), name))
     rows = stored(
         docs.select(
             F.col(id_col).alias("id"),
@@ -101,9 +108,15 @@ def mix_sources(
         "bucket", F.shiftright(high * F.col("buckets"), 32)
     )
     subtotals = placed.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    along = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = subtotals.select(
-        F.col("source").alias("o_source"), F.col("bucket").alias("o_bucket"), F.coalesce(F.sum("words").over(along), F.lit(0)).alias("ahead")
+    shelved = subtotals.withColumn("shelf", F.floor(F.col("bucket") / SHELF))
+    upto = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    shelves = shelved.groupBy("source", "shelf").agg(F.sum("words").alias("words"))
+    shelves = shelves.select(F.col("source").alias("s_source"), F.col("shelf").alias("s_shelf"), F.coalesce(F.sum("words").over(upto("source").orderBy("shelf")), F.lit(0)).alias("before"))
+    inner = F.coalesce(F.sum("words").over(upto("source", "shelf").orderBy("bucket")), F.lit(0))
+    offsets = (
+        shelved.withColumn("inner", inner)
+        .join(shelves, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("shelf") == F.col("s_shelf")))
+        .select(F.col("source").alias("o_source"), F.col("bucket").alias("o_bucket"), (F.col("before") + F.col("inner")).alias("ahead"))
     )
     within = Window.partitionBy("source", "bucket").orderBy("key", F.col("id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
     ordered = placed.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0))).join(
@@ -125,8 +138,13 @@ def mix_sources(
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str | None = "n_chars", **options) -> DataFrame:
     """The mix itself: each row as often as it is taken, with all its columns.
 
-    A row at its source's cut ends with the words up to the budget; ``length_col``, if
-    the table has it, follows the cut text. Rows that repeat id and text are one.
+    * a row at its source's cut ends with the words up to the budget; ``length_col``, if
+      the table has it, follows the cut text; whole rows keep their text as it is;
+    * rows that repeat id and text are one row, unlike in ``mix_sources``;
+    * rows without words (null, empty, white space) are never taken; a null source is a
+      source; null ids are told apart by their text;
+    * long texts are cut by words, not read partly; an empty table gives no rows; columns
+      of any name, nulls in them included, come through as they are.
     """
     key = F.concat_ws(":", F.coalesce(docs[id_col].cast("string"), F.lit("")), F.sha2(F.coalesce(docs[text_col], F.lit("")).cast("binary"), 256))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key.alias("key")).dropDuplicates(["key"])

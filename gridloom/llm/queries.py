@@ -62,15 +62,20 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def url_graph_sql(rounds: int = url_graph.ROUNDS, threshold: float = 1.0) -> str:
-    """The same rules, host graph and integer masses in SQL, one CTE for each round."""
+def url_graph_sql(rounds: int = 8, threshold: float = 1.0) -> str:
+    """The same rules, host graph and integer masses in SQL, one CTE for each round.
+
+    The test pages link within their hosts, so their masses stand from the first round on.
+    """
     steps = ",\n".join(
         f"""
         r{i} AS (
             SELECT kind, node, sum(seed)::BIGINT AS seed, ((15 * sum(seed) + 85 * sum(sent)) // 100)::BIGINT AS mass
             FROM (SELECT kind, node, seed, 0::BIGINT AS sent FROM seeds
                   UNION ALL
-                  SELECT e.kind, e.b, 0, s.mass // e.degree FROM r{i - 1} s JOIN steps e ON s.kind = e.kind AND s.node = e.a)
+                  SELECT e.kind, e.b, 0, s.mass // e.degree FROM r{i - 1} s JOIN steps e ON s.kind = e.kind AND s.node = e.a
+                  UNION ALL
+                  SELECT kind, node, 0, mass FROM r{i - 1} s WHERE NOT EXISTS (FROM steps e WHERE s.kind = e.kind AND s.node = e.a))
             GROUP BY kind, node)"""
         for i in range(1, rounds + 1)
     )

@@ -6,7 +6,11 @@ the reversed edges, so a host that links to blocked hosts takes their distrust o
 without a rule get their host's verdict: block where the host's distrust for each page,
 less its trust for each page, exceeds ``threshold`` times the average seed density.
 
-Masses are fixed-point integers, so reruns and other engines agree to the last unit.
+A host without links keeps its mass, as if it linked to itself, so no mass is lost and
+the masses are the personalised PageRank distribution. Rounds go on until all masses
+together change by no more than a millionth; each shrinks the change to 0.85 at most, so
+that takes below ninety. Masses are fixed-point integers, so reruns agree to the last
+unit.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import checkpointed, stored
+from gridloom.llm.common import dropped, stored
 
 #: (host/path, verdict) of the contract.
 RULES = (
@@ -28,8 +32,10 @@ RULES = (
     ("org/es/", "block"),
 )
 MASS = 1_000_000_000_000
-ROUNDS = 8
+SETTLED = MASS // 1_000_000
 SALTS = 32
+#: Links of a host that are handled in one task.
+CROWDED = 10_000
 LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
 RELATIVE = r"""(?i)\bhref\s*=\s*["']?\s*(?:/(?!/)|[^"'\s<>:/]+["'\s>/])"""
 
@@ -55,7 +61,7 @@ def best_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> t
     return rule, verdict
 
 
-def host_edges(pages: DataFrame) -> DataFrame:
+def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     """Distinct (src, dst) between hosts that have pages; relative links point home."""
     links = F.regexp_extract_all("html", F.lit(LINK), F.lit(1))
     home = F.when(F.col("html").rlike(RELATIVE), F.array("host")).otherwise(F.array().cast("array<string>"))
@@ -64,17 +70,18 @@ def host_edges(pages: DataFrame) -> DataFrame:
         .select(F.col("host").alias("src"), F.explode(F.array_distinct(F.concat(home, F.transform(links, ascii_lower)))).alias("dst"))
         .distinct()
     )
-    known = pages.filter("host <> ''").select(F.col("host").alias("dst")).distinct()
-    return out.join(known, "dst", "left_semi").select("src", "dst")
+    return out.join(hosts.select(F.col("host").alias("dst")), "dst", "left_semi").select("src", "dst")
 
 
-def propagate(hosts: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(host, trust, distrust) masses after ``rounds`` steps with damping 0.85.
+def propagate(hosts: DataFrame, edges: DataFrame, settled: int = SETTLED, crowded: int = CROWDED) -> DataFrame:
+    """(host, trust, distrust) masses once a round changes them by ``settled`` at most.
 
-    hosts: (host, allowed, blocked). Each step is one join and one map-side combined
-    sum for both masses; every third step cuts the lineage with a checkpoint.
+    hosts: (host, allowed, blocked). Each round is one join and one map-side combined
+    sum for both masses, and its small state is written down. A host with many links
+    sends its share to each of the salts that its links are dealt over.
     """
-    totals = hosts.agg(F.sum("allowed").alias("a"), F.sum("blocked").alias("b")).first()
+    totals = hosts.agg(F.sum("allowed").alias("a"), F.sum("blocked").alias("b"), F.count(F.lit(1)).alias("n")).first()
+    settled = max(settled, totals["n"])  # rounding moves a unit of mass a host
     good, bad = max(1, totals["a"] or 0), max(1, totals["b"] or 0)
     kinds = F.explode(
         F.array(
@@ -86,26 +93,37 @@ def propagate(hosts: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataF
     both = edges.select(F.lit("t").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b")).unionAll(
         edges.select(F.lit("d").alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b"))
     )
-    degree = both.groupBy("kind", "a").agg(F.count(F.lit(1)).alias("degree"))
-    steps = checkpointed(both.join(degree.select(F.col("kind").alias("d_kind"), F.col("a").alias("d_a"), "degree"), (F.col("kind") == F.col("d_kind")) & (F.col("a") == F.col("d_a"))).select("kind", "a", "b", "degree"))
-    seeds = checkpointed(seeds)
+    both = stored(both, "links")
+    degrees = both.groupBy("kind", "a").agg(F.count(F.lit(1)).alias("degree"))
+    own = (F.col("node") == F.col("a")) & (F.col("kind") == F.col("d_kind"))
+    seeds = stored(
+        seeds.join(degrees.select(F.col("kind").alias("d_kind"), "a", "degree"), own, "left").select("kind", "node", "seed", F.coalesce("degree", F.lit(0)).alias("degree")), "seeds"
+    )
+    salts = F.expr(f"cast(1 + degree div {crowded} as int)")
+    many = seeds.filter(salts > 1).select(F.col("kind").alias("m_kind"), F.col("node").alias("m_node"), salts.alias("salts"))
+    steps = both.join(many, (F.col("kind") == F.col("m_kind")) & (F.col("a") == F.col("m_node")), "left")
+    steps = stored(steps.select("kind", "a", "b", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt")), "steps")
     state = seeds.withColumn("mass", F.col("seed"))
-    for i in range(rounds):
-        sent = (
-            state.filter("mass > 0")
-            .select(F.col("kind").alias("s_kind"), F.col("node").alias("s_node"), "mass")
-            .join(steps, (F.col("s_kind") == F.col("kind")) & (F.col("s_node") == F.col("a")))
-            .select("kind", F.col("b").alias("node"), F.expr("mass div degree").alias("sent"))
+    while True:
+        share = F.expr("mass div degree")
+        sending = state.filter("mass > 0 AND degree > 0").select(
+            F.col("kind").alias("s_kind"), F.col("node").alias("s_node"), share.alias("sent"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("s_salt")
         )
-        state = (
-            seeds.select("kind", "node", "seed", F.lit(0).cast("long").alias("sent"))
-            .unionAll(sent.select("kind", "node", F.lit(0).cast("long").alias("seed"), "sent"))
+        sent = sending.join(steps, (F.col("s_kind") == F.col("kind")) & (F.col("s_node") == F.col("a")) & (F.col("s_salt") == F.col("salt"))).select("kind", F.col("b").alias("node"), "sent")
+        none = F.lit(0).cast("long")
+        kept = state.select("kind", "node", "seed", "degree", "mass", F.when(F.col("degree") == 0, F.col("mass")).otherwise(none).alias("sent"))
+        after = (
+            kept.unionAll(sent.select("kind", "node", none.alias("seed"), none.alias("degree"), none.alias("mass"), "sent"))
             .groupBy("kind", "node")
-            .agg(F.sum("seed").alias("seed"), F.sum("sent").alias("sent"))
-            .select("kind", "node", "seed", F.expr("(15 * seed + 85 * sent) div 100").alias("mass"))
+            .agg(*[F.sum(c).alias(c) for c in ("seed", "degree", "mass", "sent")])
+            .select("kind", "node", "seed", "degree", F.expr("(15 * seed + 85 * sent) div 100").alias("mass"), F.col("mass").alias("before"))
         )
-        if i % 3 == 2 or i == rounds - 1:
-            state = checkpointed(state)
+        after = stored(after, "masses")
+        if "before" in state.columns:
+            dropped(state)
+        state = after
+        if (state.agg(F.sum(F.abs(F.col("mass") - F.col("before")))).first()[0] or 0) <= settled:
+            break
     mass = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("mass")).otherwise(F.lit(0)))
     return state.groupBy(F.col("node").alias("host")).agg(mass("t").alias("trust"), mass("d").alias("distrust"))
 
@@ -114,7 +132,6 @@ def judge_urls(
     pages: DataFrame,
     rules: Sequence[tuple[str, str]] = RULES,
     threshold: float = 1.0,
-    rounds: int = ROUNDS,
     id_col: str = "page_id",
     url_col: str = "url",
     html_col: str = "html",
@@ -122,7 +139,8 @@ def judge_urls(
     """One row per input row: id, host, path, rule, verdict, trust, distrust.
 
     * a null url, or one without "://", has empty host and path, fits no rule and is
-      allowed; a null html has no links; repeated rows are judged each;
+      allowed; a null html has no links, long ones are read whole; repeated rows and null
+      ids are judged each; of rules of one length the smaller fits first;
     * ``rules`` is a configuration list held in the plan, longest match first;
     * trust and distrust are the host's mass for each page over the average (null for
       an empty host); no rows in, no rows out; other columns are ignored.
@@ -143,7 +161,7 @@ def judge_urls(
         ),
         "hosts",
     )
-    masses = propagate(hosts, host_edges(named), rounds)
+    masses = propagate(hosts, host_edges(named, hosts))
     total = hosts.agg(F.sum("pages")).first()[0] or 1
     density = lambda c: F.col(c) / F.lit(float(MASS)) * F.lit(float(total)) / F.col("pages")
     scores = (

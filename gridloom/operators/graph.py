@@ -77,18 +77,21 @@ def chamfer(mask: np.ndarray) -> np.ndarray:
     h, w = mask.shape
     d = np.full((h + 4, w + 4), np.inf)
     d[2:-2, 2:-2] = np.where(mask, 0.0, np.inf)
-    before = [(-1, 0, 1.0), (0, -1, 1.0), (-1, -1, 2**0.5), (-1, 1, 2**0.5), (-2, -1, 5**0.5), (-2, 1, 5**0.5), (-1, -2, 5**0.5), (-1, 2, 5**0.5)]
-    for sign, ys, xs in ((1, range(2, h + 2), range(2, w + 2)), (-1, range(h + 1, 1, -1), range(w + 1, 1, -1))):
-        for y in ys:
-            for x in xs:
-                d[y, x] = min(d[y, x], *(d[y + sign * dy, x + sign * dx] + c for dy, dx, c in before))
+    at = np.arange(w + 4, dtype=float)
+    above = [(1, 0, 1.0), (1, -1, 2**0.5), (1, 1, 2**0.5), (2, -1, 5**0.5), (2, 1, 5**0.5), (1, -2, 5**0.5), (1, 2, 5**0.5)]
+    for turned in (d, d[::-1, ::-1]):  # a pass down and to the east, one up and to the west
+        for y in range(2, h + 2):
+            row = turned[y]
+            for dy, dx, cost in above:
+                row[2:-2] = np.minimum(row[2:-2], turned[y - dy, 2 + dx : w + 2 + dx] + cost)
+            run = np.minimum.accumulate(row - at) + at  # steps along the row
+            row[2:-2] = np.minimum(row[2:-2], run[2:-2])
     return d[2:-2, 2:-2]
 
 
 def thinned(mask: np.ndarray) -> np.ndarray:
     """A one-position wide skeleton by two alternating sub-iterations to a fixed point."""
     m = np.pad(mask.astype(np.uint8), 1)
-    ring = ((0, 1), (1, 2), (2, 2), (2, 1), (2, 0), (1, 0), (0, 0))
     ring = [(0, 1), (0, 2), (1, 2), (2, 2), (2, 1), (2, 0), (1, 0), (0, 0)]
     while True:
         before = m.copy()
@@ -172,7 +175,7 @@ def value_noise(shape: tuple[int, int], seed: int, octaves: int = 4, ridged: boo
     return out / total
 
 
-def scatter(mask: np.ndarray, spacing: float, seed: int, most: int = 10_000) -> np.ndarray:
+def scatter(mask: np.ndarray, spacing: float, seed: int) -> np.ndarray:
     """Positions (y, x) on the mask no closer than ``spacing``, in a seeded order."""
     free = np.argwhere(mask)
     order = np.random.default_rng(seed).permutation(len(free))
@@ -184,6 +187,4 @@ def scatter(mask: np.ndarray, spacing: float, seed: int, most: int = 10_000) ->
         if all((p[0] - y) ** 2 + (p[1] - x) ** 2 >= spacing * spacing for p in near):
             taken.setdefault((by, bx), []).append((y, x))
             out.append((int(y), int(x)))
-            if len(out) >= most:
-                break
     return np.array(out, int).reshape(-1, 2)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from gridloom.plans.surrogates import CELL, POINTS
 
 SLOPE = """
@@ -54,6 +56,7 @@ def cell(body: str, *parts: str, recursive: bool = False) -> str:
 BAND = "CASE " + " ".join(f"WHEN slope >= {e} THEN {i}" for i, e in reversed(list(enumerate((0, 5, 10, 15, 20, 25, 30, 35, 40, 50, 60))))) + " END"
 
 SQL: dict[str, str] = {
+    "stream_seeds": "SELECT * FROM (VALUES " + ", ".join(f"({n}, {zlib.crc32(f'terrain/{n + 4242}'.encode())}::BIGINT)" for n in range(25)) + ") v(n_nationkey, seed)",
     "tile_coverage": cell(
         "SELECT map, t, n, n / sum(n) OVER (PARTITION BY map) AS of_valid, CASE WHEN t > 0 THEN n / sum(n) FILTER (t > 0) OVER (PARTITION BY map) END AS of_painted FROM c",
         "c AS (SELECT map, t, count(*) AS n FROM cell GROUP BY ALL)",
@@ -173,14 +176,6 @@ SQL: dict[str, str] = {
     "event_runs": """
         WITH i AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events)
         SELECT event_type, count(*) AS runs, max(n) AS longest, sum(n)::BIGINT AS events FROM (SELECT user_id, event_type, k, count(*) AS n FROM i GROUP BY ALL) GROUP BY event_type""",
-    "edge_runs": cell(
-        "SELECT map, side, sum(depth)::BIGINT AS total, max(depth) AS deepest FROM d GROUP BY map, side",
-        "d AS (SELECT map, 'west' AS side, gy AS line, coalesce(min(gx) FILTER (NOT block), 64) AS depth FROM cell GROUP BY map, gy UNION ALL SELECT map, 'north', gx, coalesce(min(gy) FILTER (NOT block), 64) FROM cell GROUP BY map, gx)",
-    ),
-    "open_edge_stretches": cell(
-        "SELECT map, max(n) AS longest, count(*) AS stretches FROM (SELECT map, k, count(*) AS n FROM e GROUP BY ALL) GROUP BY map",
-        "e AS (SELECT map, gx - row_number() OVER (PARTITION BY map ORDER BY gx) AS k FROM cell WHERE gy = 0 AND NOT block)",
-    ),
     "top_n_per_group": """
         SELECT * FROM (SELECT l_returnflag, l_partkey, count(*) AS n, row_number() OVER (PARTITION BY l_returnflag ORDER BY count(*) DESC, l_partkey)::INTEGER AS rank FROM lineitem GROUP BY 1, 2) WHERE rank <= 10""",
     "adjacency_pairs": cell(
@@ -210,10 +205,6 @@ SQL: dict[str, str] = {
         "SELECT map, gx, gy FROM s a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE a.map = b.map AND abs(a.gx - b.gx) <= 2 AND abs(a.gy - b.gy) <= 2 AND (a.gx <> b.gx OR a.gy <> b.gy))", "s AS (SELECT * FROM cell WHERE h % 50 = 49)"
     ),
     "nearest_neighbours": build("SELECT id, label, round(same, 12) AS same, round(other, 12) AS other FROM nn", POINTS, NEAREST),
-    "point_in_grid": cell(
-        "SELECT p.id, p.gx, p.gy, c.h, c.t FROM p LEFT JOIN cell c ON c.map = 'A' AND c.gx = p.gx AND c.gy = p.gy",
-        POINTS, "p AS (SELECT id, (((floor(x * 64) % 64) + 64) % 64)::INTEGER AS gx, (((floor(y * 64) % 64) + 64) % 64)::INTEGER AS gy FROM point)",
-    ),
     "missing_registry": "SELECT l_partkey AS id, count(*) AS n FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size > 5) GROUP BY 1",
     "registry_join": "SELECT coalesce(p_brand, '(unresolved)') AS brand, count(*) AS n FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size > 5) ON l_partkey = p_partkey GROUP BY 1",
     "bag_difference": """
@@ -247,11 +238,6 @@ SQL: dict[str, str] = {
     "duration_parse": """
         WITH e AS (SELECT event_id, (event_id % 3)::VARCHAR || 'h' || (event_id % 60)::VARCHAR || 'm' || (user_id % 60)::VARCHAR || CASE WHEN event_id % 2 = 0 THEN 's' ELSE '' END AS text, (event_id % 3) * 3600 + (event_id % 60) * 60 + CASE WHEN event_id % 2 = 0 THEN user_id % 60 ELSE 0 END AS seconds FROM events)
         SELECT event_id, text, seconds::BIGINT AS seconds FROM e""",
-    "texture_class": """
-        WITH p AS (SELECT lower(p_type) AS a, lower(p_name) AS b FROM part)
-        SELECT class, count(*) AS n FROM (SELECT coalesce({0}, {1}, 'other') AS class FROM p) GROUP BY class""".format(
-        *("CASE " + " ".join(f"WHEN regexp_matches({c}, '{r}') THEN '{n}'" for r, n in (("steel|nickel", "metal"), ("brushed|polished|burnished", "polished"), ("tin|copper|brass", "soft_metal"), ("standard", "plain"), ("promo", "promo"))) + " END" for c in "ab")
-    ),
 }
 SQL["findings_by_severity"] = f"SELECT severity, rule, count(*) AS n FROM ({SQL['findings_union']}) GROUP BY severity, rule"
 
@@ -273,17 +259,10 @@ SQL |= {
     "server_compare": cell(
         "SELECT map, count(*) AS cells, count(*) FILTER (server <> client) AS differ, max(server) AS most FROM (SELECT map, attr & 7 AS client, CASE WHEN h % 97 = 5 AND ox = 1 THEN 0 ELSE attr & 7 END AS server FROM cell, (VALUES (0), (1)) a(ox), (VALUES (0), (1)) b(oy)) GROUP BY map"
     ),
-    "edge_bands": cell(
-        "SELECT map, side, coalesce(min(rank) FILTER (share < 0.5), 64)::INTEGER AS width FROM (SELECT map, 'west' AS side, gx AS rank, share FROM l UNION ALL SELECT map, 'east', 63 - gx, share FROM l) GROUP BY map, side",
-        "l AS (SELECT map, gx, count(*) FILTER (block) / count(*) AS share FROM cell GROUP BY map, gx)",
-    ),
     "patch_scan": cell(
         "SELECT map, px::INTEGER AS px, py::INTEGER AS py, n, relief, total::BIGINT AS total, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY map ORDER BY relief DESC, total DESC, px, py) AS rank FROM p) WHERE rank <= 2",
         "p AS (SELECT map, x.i AS px, y.i AS py, count(*) AS n, max(h) - min(h) AS relief, sum(h) AS total FROM cell, (SELECT unnest(range(7)) AS i) x, (SELECT unnest(range(7)) AS i) y WHERE gx BETWEEN x.i * 8 AND x.i * 8 + 15 AND gy BETWEEN y.i * 8 AND y.i * 8 + 15 GROUP BY map, x.i, y.i)",
     ),
-    "level_gaps": cell(
-        "SELECT map, grp::BIGINT AS grp, min(h) AS low, max(h) AS high, count(*) AS levels FROM (SELECT map, h, sum(new) OVER (PARTITION BY map ORDER BY h) AS grp FROM (SELECT map, h, coalesce((h - lag(h) OVER (PARTITION BY map ORDER BY h) > 10)::INT, 0) AS new FROM (SELECT DISTINCT map, h FROM cell))) GROUP BY map, grp"
-    ),
     "even_samples": """
         WITH r AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS i, count(*) OVER (PARTITION BY p_brand) AS n FROM part)
         SELECT p_brand, p_partkey FROM r WHERE i % greatest(1, n // 8) = 0 AND i // greatest(1, n // 8) < 8""",

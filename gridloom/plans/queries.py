@@ -37,9 +37,10 @@ def tile_coverage(spark, sf_dir):
 
 @query
 def attr_flag_coverage(spark, sf_dir):
-    bits = cells(spark, sf_dir).select("map", "attr", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("bit"))
-    on = F.expr("(shiftright(attr, bit) & 1) = 1")
-    return bits.groupBy("map", "bit").agg(F.count_if(on).alias("n"), (F.count_if(on) / F.count(F.lit(1))).alias("share"))
+    on = [F.count_if(F.col("attr").bitwiseAND(1 << bit) != 0).alias(f"b{bit}") for bit in range(8)]
+    counts = cells(spark, sf_dir).groupBy("map").agg(F.count(F.lit(1)).alias("all"), *on)
+    bits = F.array(*[F.struct(F.lit(bit).alias("bit"), F.col(f"b{bit}").alias("n")) for bit in range(8)])
+    return counts.select("map", "all", F.explode(bits).alias("b")).select("map", "b.bit", "b.n", (F.col("b.n") / F.col("all")).alias("share"))
 
 
 @query
@@ -291,23 +292,6 @@ def event_runs(spark, sf_dir):
     return runs.groupBy("event_type").agg(F.count(F.lit(1)).alias("runs"), F.max("length").alias("longest"), F.sum("length").alias("events"))
 
 
-@query
-def edge_runs(spark, sf_dir):
-    """Blocked run inward from the west and north edges."""
-    g = grid(spark, sf_dir)
-    west = g.groupBy("map", F.col("gy").alias("line")).agg(F.coalesce(F.min(F.when(~F.col("block"), F.col("gx"))), F.lit(64)).alias("depth")).withColumn("side", F.lit("west"))
-    north = g.groupBy("map", F.col("gx").alias("line")).agg(F.coalesce(F.min(F.when(~F.col("block"), F.col("gy"))), F.lit(64)).alias("depth")).withColumn("side", F.lit("north"))
-    return west.unionByName(north).groupBy("map", "side").agg(F.sum("depth").alias("total"), F.max("depth").alias("deepest"))
-
-
-@query
-def open_edge_stretches(spark, sf_dir):
-    edge = grid(spark, sf_dir).filter("gy = 0").withColumn("open", ~F.col("block"))
-    w = Window.partitionBy("map", "open").orderBy("gx")
-    runs = edge.withColumn("island", F.col("gx") - F.row_number().over(w)).filter("open").groupBy("map", "island").agg(F.count(F.lit(1)).alias("length"))
-    return runs.groupBy("map").agg(F.max("length").alias("longest"), F.count(F.lit(1)).alias("stretches"))
-
-
 @query
 def top_n_per_group(spark, sf_dir):
     n = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_partkey").agg(F.count(F.lit(1)).alias("n"))
@@ -394,14 +378,6 @@ def nearest_neighbours(spark, sf_dir):
     return n.select("id", "label", F.round("same", 12).alias("same"), F.round("other", 12).alias("other"))
 
 
-@query
-def point_in_grid(spark, sf_dir):
-    at = lambda c: F.pmod(F.floor(F.col(c) * 64), F.lit(64)).cast("int")
-    p = points(spark, sf_dir).select("id", at("x").alias("gx"), at("y").alias("gy"))
-    ground = cells(spark, sf_dir).filter("map = 'A'").select("gx", "gy", "h", "t")
-    return p.join(ground, ["gx", "gy"], "left").select("id", "gx", "gy", "h", "t")
-
-
 @query
 def missing_registry(spark, sf_dir):
     items, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").filter("p_size > 5")
@@ -497,15 +473,6 @@ def duration_parse(spark, sf_dir):
     return e.select("event_id", text.alias("text"), scalar.duration_seconds(text).alias("seconds"))
 
 
-CLASSES = [("steel|nickel", "metal"), ("brushed|polished|burnished", "polished"), ("tin|copper|brass", "soft_metal"), ("standard", "plain"), ("promo", "promo")]
-
-
-@query
-def texture_class(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    kind = scalar.first_match(CLASSES, F.lower("p_type"), F.lower("p_name"))
-    return p.groupBy(kind.alias("class")).agg(F.count(F.lit(1)).alias("n"))
-
 
 @query
 def stream_seeds(spark, sf_dir):
@@ -637,16 +604,6 @@ def server_compare(spark, sf_dir):
     return both.groupBy("map").agg(F.count(F.lit(1)).alias("cells"), F.count_if(F.col("server") != F.col("client")).alias("differ"), F.max("server").alias("most"))
 
 
-@query
-def edge_bands(spark, sf_dir):
-    """Width of the blocked band at each vertical edge: lines from the edge until the
-    first whose blocked share falls below a half."""
-    lines = grid(spark, sf_dir).groupBy("map", "gx").agg((F.count_if("block") / F.count(F.lit(1))).alias("share"))
-    west = lines.select("map", F.lit("west").alias("side"), F.col("gx").alias("rank"), "share")
-    east = lines.select("map", F.lit("east").alias("side"), (63 - F.col("gx")).alias("rank"), "share")
-    return west.unionByName(east).groupBy("map", "side").agg(F.coalesce(F.min(F.when(F.col("share") < 0.5, F.col("rank"))), F.lit(64)).alias("width"))
-
-
 @query
 def patch_scan(spark, sf_dir):
     """Overlapping 16 x 16 patches at stride 8: every cell falls into four at most."""
@@ -657,15 +614,6 @@ def patch_scan(spark, sf_dir):
     return aggregates.top_n(patches.filter("n = 256"), ["map"], [F.col("relief").desc(), F.col("total").desc(), F.col("px"), F.col("py")], 2)
 
 
-@query
-def level_gaps(spark, sf_dir):
-    """Groups of used heights: a gap above ten opens a new one."""
-    used = cells(spark, sf_dir).select("map", "h").distinct()
-    w = Window.partitionBy("map").orderBy("h")
-    groups = used.withColumn("new", (F.col("h") - F.lag("h").over(w) > 10).cast("int")).withColumn("grp", F.sum(F.coalesce("new", F.lit(0))).over(w))
-    return groups.groupBy("map", "grp").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.count(F.lit(1)).alias("levels"))
-
-
 @query
 def even_samples(spark, sf_dir):
     """Every step-th part of a brand in order, eight at most."""

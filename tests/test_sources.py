@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from gridloom.sources import codecs
-from gridloom.sources.world import WorldSource
+from gridloom.sources.world import LAYERS, WorldSource
 
 
 def test_grid_layers_round_trip():
@@ -23,10 +23,10 @@ def test_grid_layers_round_trip():
 
 @pytest.mark.parametrize("short", [False, True])
 def test_water(short):
-    water = codecs.Water(np.random.default_rng(2).integers(0, 2, (128, 128)).astype("u1"), [19_880, 300], short)
+    water = codecs.Water(np.random.default_rng(2).integers(0, 2, (128, 128)).astype("u1"), [12_345, 678], short)
     data = codecs.write_water(water)
     back = codecs.read_water(data)
-    assert back.heights == [19_880, 300] and back.short == short and codecs.write_water(back) == data
+    assert back.heights == [12_345, 678] and back.short == short and codecs.write_water(back) == data
 
 
 def test_lzo():
@@ -56,7 +56,7 @@ def test_dxt_and_pixels():
 
 
 def test_text_layers():
-    record = {"ordinal": 0, "x": 100.5, "y": -200.0, "z": 3.0, "crc": 3_579_485_406, "yaw": 90.0, "pitch": 0.0, "roll": 45.0, "bias": -35.0, "portals": [3, 4], "scale": [0.35, 0.35, 0.35]}
+    record = {"ordinal": 0, "x": 100.5, "y": -200.0, "z": 3.0, "crc": 2_718_281_828, "yaw": 90.0, "pitch": 0.0, "roll": 45.0, "bias": -12.5, "portals": [3, 4], "scale": [0.75, 0.5, 1.25]}
     plain = record | {"ordinal": 1, "portals": [], "scale": [1.0, 1.0, 1.0]}
     assert codecs.read_placements(codecs.write_placements([record, plain])) == [record, plain]
     short = b"AreaDataFile\r\nObjectCount 2\r\nStart Object000\r\n1 2 3\r\n7\r\nEnd Object\r\nStart Object001\r\n1 2 3\r\n8 45.0\r\nEnd Object"
@@ -84,3 +84,16 @@ def test_world_source(spark, tmp_path):
     (folder / "areadata.txt").write_bytes(b"AreaDataFile\r\nObjectCount 1\r\nStart Object000\r\n1 -2 3\r\n7\r\nEnd Object")
     placed = spark.read.format("world").option("layer", "placements").load(str(tmp_path)).collect()
     assert [(r["sx"], r["crc"], r["y"]) for r in placed] == [(0, 7, -2.0)]
+    # A folder too deep is no sector; the first map only; no temporary files stay.
+    deep = folder / "000001"
+    deep.mkdir()
+    (deep / "height.raw").write_bytes((folder / "height.raw").read_bytes())
+    more = rows[:1] + [("m0", 0, 0, 131, [1] * 131 * 131, bytearray())]
+    spark.createDataFrame(more, table.schema).write.format("world").option("layer", "height").mode("append").save(str(tmp_path))
+    read = spark.read.format("world").option("layer", "height")
+    assert read.load(str(tmp_path)).count() == 5 and [r["map"] for r in read.option("limit", "1").load(f"file://{tmp_path}").collect()] == ["m0"]
+    assert not list(tmp_path.rglob(".height*"))
+    records = spark.createDataFrame([("m1", 1, 1, i, 1.0 * i, -2.0, 0.0, 5 + i, 0.0, 0.0, 0.0, 0.0, [], [1.0, 1.0, 1.0]) for i in range(3)], LAYERS["placements"][2])
+    records.repartition("map", "sx", "sy").write.format("world").option("layer", "placements").mode("append").save(str(tmp_path))
+    back = spark.read.format("world").option("layer", "placements").option("map", "m1").load(str(tmp_path))
+    assert sorted(map(str, back.filter("sx = 1").collect())) == sorted(map(str, records.collect()))

@@ -270,18 +270,22 @@ def survival(cell: DataFrame, mask: str) -> DataFrame:
     return s.withColumn("path", F.col("share").between(0.005, 0.10) & F.col("e2").between(0.25, 0.85) & (F.col("e5") < 0.45))
 
 
-def ring_profile(cell: DataFrame, mask: str, index: str, last: int, least: float = 0.10) -> DataFrame:
-    """(map, ring, index, share, enrichment, blend) of chessboard rings 1..last outside a mask.
+def rings(cell: DataFrame, mask: str, last: int) -> DataFrame:
+    """Cells within ``last`` of the mask with their chessboard distance, ring.
 
-    The ring number is a chessboard distance: along rows the nearest set cell at each
-    column distance, then the least of the greater of both distances along columns.
+    Along rows the nearest set cell at each column distance, then along columns the least
+    of the greater of both distances: set cells are spread, not all cells.
     """
     steps = range(-last, last + 1)
     spread = cell.filter(mask).select("map", F.col("gx").alias("mx"), F.col("gy").alias("my"))
     near = spread.withColumn("gx", F.explode(F.array(*[F.col("mx") + d for d in steps]))).groupBy("map", "my", "gx").agg(F.min(F.abs(F.col("gx") - F.col("mx"))).alias("dx"))
     near = near.withColumn("gy", F.explode(F.array(*[F.col("my") + d for d in steps]))).groupBy("map", "gx", "gy").agg(F.min(F.greatest("dx", F.abs(F.col("gy") - F.col("my")))).alias("ring"))
-    ringed = cell.join(near, ["map", "gx", "gy"])
-    n = ringed.filter(F.col("ring").between(1, last)).groupBy("map", "ring", index).agg(rows().alias("n"))
+    return cell.join(near, ["map", "gx", "gy"])
+
+
+def ring_profile(cell: DataFrame, mask: str, index: str, last: int, least: float = 0.10) -> DataFrame:
+    """(map, ring, index, share, enrichment, blend) of chessboard rings 1..last outside a mask."""
+    n = rings(cell, mask, last).filter(F.col("ring").between(1, last)).groupBy("map", "ring", index).agg(rows().alias("n"))
     share = n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("map", "ring")))
     blend = F.coalesce(F.min(F.when(F.col("share") < least, F.col("ring"))).over(Window.partitionBy("map", index)) - 1, F.lit(last))
     base = cell.groupBy("map", index).agg(rows().alias("b")).withColumn("base", F.col("b") / F.sum("b").over(Window.partitionBy("map")))
@@ -348,3 +352,16 @@ def planes(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     a, b = (F.col("xz") * F.col("yy") - F.col("yz") * F.col("xy")) / det, (F.col("yz") * F.col("xx") - F.col("xz") * F.col("xy")) / det
     left = F.greatest(F.lit(0.0), F.col("zz") - a * F.col("xz") - b * F.col("yz"))
     return m.select(*keys, "n", F.round(a, 6).alias("a"), F.round(b, 6).alias("b"), F.round(F.when(F.col("zz") > 0, F.sqrt(left / F.col("zz"))).otherwise(F.lit(0.0)), 6).alias("ratio"))
+
+
+def opaque_slots(cell: DataFrame, slots: int) -> DataFrame:
+    """(map, slot, opaque): cells opaque for each index: equal, or higher with an equal one of 8 near.
+
+    The indices around a cell are one bit set, gathered by two windowed unions.
+    """
+    bits = cell.withColumn("own", F.expr("shiftleft(1, t)"))
+    row = bits.withColumn("r", F.bit_or("own").over(raster.along_row().rowsBetween(-1, 1)))
+    near = row.withColumn("near", F.bit_or("r").over(raster.along_column().rowsBetween(-1, 1)))
+    on = lambda s: (F.col("t") == s) | ((F.col("t") > s) & (F.col("near").bitwiseAND(1 << s) != 0))
+    n = near.groupBy("map").agg(*[F.count_if(on(s)).alias(f"s{s}") for s in range(1, slots + 1)])
+    return n.select("map", F.explode(F.array(*[F.struct(F.lit(s).alias("slot"), F.col(f"s{s}").alias("opaque")) for s in range(1, slots + 1)])).alias("x")).select("map", "x.slot", "x.opaque")

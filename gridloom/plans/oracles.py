@@ -285,7 +285,7 @@ SQL |= {
     "deep_unflagged": cell("SELECT *, deep >= 100 AND 2 * flagged >= deep AND deep - flagged > 0.4 * deep AS finding FROM (SELECT map, count(*) AS deep, count(*) FILTER (water) AS flagged FROM cell WHERE h < 60 GROUP BY map)"),
     "walkable_rock": cell("SELECT map, count(*) AS n, count(*) FILTER (NOT block) / count(*) AS walkable FROM slope WHERE slope >= 25 AND t >= 5 GROUP BY map", SLOPE),
     "spawn_zone_audit": cell(
-        "SELECT CASE WHEN inside < 25 THEN 'outside' WHEN free < 0.6 * inside THEN 'blocked' ELSE 'fine' END AS finding, count(*) AS zones FROM (SELECT s_suppkey, count(block) AS inside, count(*) FILTER (NOT block) AS free FROM supplier LEFT JOIN cell ON map = 'A' AND abs(gx - (s_suppkey * 7) % 70) <= 2 AND abs(gy - (s_suppkey * 13) % 70) <= 2 GROUP BY s_suppkey) GROUP BY 1"
+        "SELECT CASE WHEN inside < 25 THEN 'outside' WHEN free < 0.6 * inside THEN 'blocked' ELSE 'fine' END AS finding, count(*) AS zones FROM (SELECT s_suppkey, count(block) AS inside, count(*) FILTER (NOT block) AS free FROM supplier LEFT JOIN cell ON map = ['A', 'N', 'R'][s_suppkey % 3 + 1] AND abs(gx - (s_suppkey * 7) % 70) <= 2 AND abs(gy - (s_suppkey * 13) % 70) <= 2 GROUP BY s_suppkey) GROUP BY 1"
     ),
     "sector_blocks": cell(
         "SELECT map, (u % 4)::INTEGER AS sx, (u // 4)::INTEGER AS sy, min(v)::INTEGER AS block FROM reach WHERE map IN (SELECT map FROM tie) GROUP BY map, u",

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import scalar
-from gridloom.operators import aggregates, graph, raster, rules, spatial
-from gridloom.plans.surrogates import SECTOR, cells, flagged, points
+from gridloom.operators import aggregates, fields, graph, raster, rules, spatial
+from gridloom.plans.surrogates import SECTOR, SIDE, cells, flagged, points
 from gridloom.session import table
 
 QUERIES: dict = {}
@@ -123,7 +123,7 @@ def p50_crossing(spark, sf_dir):
 @query
 def block_budget(spark, sf_dir):
     near = raster.halo(grid(spark, sf_dir), F.col("t") == 7, 1)
-    out = (F.col("gx") < 4) | (F.col("gx") > 59) | (F.col("gy") < 4) | (F.col("gy") > 59)
+    out = (F.col("gx") < 4) | (F.col("gx") > SIDE - 5) | (F.col("gy") < 4) | (F.col("gy") > SIDE - 5)
     cause = F.when(F.col("h") > 80, "slope").when(F.col("water"), "water").when(F.col("near"), "halo").when(out, "out_of_bounds").otherwise("residual")
     return aggregates.shares_of(near.filter("block").withColumn("cause", cause), ["map", "cause"], ["map"])
 
@@ -247,13 +247,13 @@ def torn_borders(spark, sf_dir):
 
 @query
 def plane_fit(spark, sf_dir):
-    u, v, h = 2 * F.col("gx") - 63, 2 * F.col("gy") - 63, F.col("h")
+    u, v, h = 2 * F.col("gx") - (SIDE - 1), 2 * F.col("gy") - (SIDE - 1), F.col("h")
     s = cells(spark, sf_dir).groupBy("map").agg(F.count(F.lit(1)).alias("n"), F.sum(h).alias("sh"), F.sum(h * h).alias("shh"), F.sum(u * h).alias("suh"), F.sum(v * h).alias("svh"), F.sum(u * u).alias("suu"))
     # The grid is complete, so the axes are orthogonal and each slope stands alone.
     a, b = F.col("suh") / F.col("suu"), F.col("svh") / F.col("suu")
     total = F.col("shh") - F.col("sh") * F.col("sh") / F.col("n")
     left = total - a * F.col("suh") - b * F.col("svh")
-    return s.select("map", F.round(a * 63, 6).alias("east"), F.round(b * 63, 6).alias("south"), F.round(F.col("sh") / F.col("n"), 6).alias("mean"), F.round(left / total, 6).alias("residual"))
+    return s.select("map", F.round(a * (SIDE - 1), 6).alias("east"), F.round(b * (SIDE - 1), 6).alias("south"), F.round(F.col("sh") / F.col("n"), 6).alias("mean"), F.round(left / total, 6).alias("residual"))
 
 
 @query
@@ -324,23 +324,15 @@ def splat_edge_density(spark, sf_dir):
 
 @query
 def erode_survival(spark, sf_dir):
-    mask = cells(spark, sf_dir).select("map", "gx", "gy", (F.col("h") % 4 != 0).alias("m"))
-    once = raster.erode(mask, "m")
-    twice = raster.erode(once, "m")
-    count = lambda d, name: d.groupBy("map").agg(F.count_if("m").alias(name))
-    return count(mask, "e0").join(count(once, "e1"), "map").join(count(twice, "e2"), "map")
+    mask = cells(spark, sf_dir).select("map", "gx", "gy", (F.col("h") % 4 == 0).cast("int").alias("o0"))
+    off = fields.reached(fields.reached(mask, "o0", "o1"), "o1", "o2")  # erosion is the growth of the complement
+    return off.groupBy("map").agg(*[F.count_if(F.col(f"o{n}") == 0).alias(f"e{n}") for n in range(3)])
 
 
 @query
 def alpha_bleed(spark, sf_dir):
     """Cells opaque for each index: equal, or higher with an equal neighbour of 8."""
-    index = F.explode(F.sequence(F.lit(1), F.lit(7))).alias("slot")
-    c = cells(spark, sf_dir).select("map", "gx", "gy", "t", index).withColumn("eq", (F.col("t") == F.col("slot")).cast("int"))
-    row = Window.partitionBy("map", "slot", "gy").orderBy("gx").rowsBetween(-1, 1)
-    column = Window.partitionBy("map", "slot", "gx").orderBy("gy").rowsBetween(-1, 1)
-    near = c.withColumn("r", F.max("eq").over(row)).withColumn("near", F.max("r").over(column))
-    opaque = (F.col("eq") == 1) | ((F.col("t") > F.col("slot")) & (F.col("near") == 1))
-    return near.groupBy("map", "slot").agg(F.count_if(opaque).alias("opaque"))
+    return fields.opaque_slots(cells(spark, sf_dir), 7)
 
 
 @query
@@ -423,7 +415,7 @@ def largest_component(spark, sf_dir):
 @query
 def border_mass(spark, sf_dir):
     c = graph.components(wet(spark, sf_dir), "m")
-    edge = c.groupBy("map", "component").agg(F.count(F.lit(1)).alias("n"), F.max(((F.col("gx") == 0) | (F.col("gy") == 0) | (F.col("gx") == 63) | (F.col("gy") == 63)).cast("int")).alias("edge"))
+    edge = c.groupBy("map", "component").agg(F.count(F.lit(1)).alias("n"), F.max(((F.col("gx") == 0) | (F.col("gy") == 0) | (F.col("gx") == SIDE - 1) | (F.col("gy") == SIDE - 1)).cast("int")).alias("edge"))
     return edge.groupBy("map").agg(F.sum(F.col("n") * F.col("edge")).alias("border"), F.sum(F.col("n") * (1 - F.col("edge"))).alias("inner"))
 
 
@@ -516,7 +508,7 @@ def spectrum(spark, sf_dir):
 def dijkstra_route(spark, sf_dir):
     def run(g: pd.DataFrame) -> pd.DataFrame:
         cost = 1 + np.where(graph.dense(g, "block"), 60.0, graph.dense(g, "h") / 300)
-        total, path = graph.route(cost, (0, 0), (63, 63))
+        total, path = graph.route(cost, (0, 0), (SIDE - 1, SIDE - 1))
         return pd.DataFrame({"map": g["map"].iloc[0], "step": range(len(path)), "gx": [p[1] for p in path], "gy": [p[0] for p in path], "total": total})
 
     return kernel(spark, sf_dir, run, "map string, step int, gx int, gy int, total double")
@@ -536,7 +528,7 @@ def poisson_scatter(spark, sf_dir):
 def fbm_terrain(spark, sf_dir):
     def run(g: pd.DataFrame) -> pd.DataFrame:
         name = g["map"].iloc[0]
-        z = graph.value_noise((64, 64), sum(name.encode()))
+        z = graph.value_noise((SIDE, SIDE), sum(name.encode()))
         y, x = np.indices(z.shape)
         return pd.DataFrame({"map": name, "gx": x.ravel(), "gy": y.ravel(), "raw": np.round(z.ravel() * 65535).astype(np.int32)})
 
@@ -645,7 +637,7 @@ def submerged_masks(spark, sf_dir):
 def exposed_shore(spark, sf_dir):
     """Water cells of the interior with a neighbour that is dry and lower."""
     c = grid(spark, sf_dir)
-    n = raster.neighbours(c, "h", "water").filter("water AND gx > 0 AND gy > 0 AND gx < 63 AND gy < 63")
+    n = raster.neighbours(c, "h", "water").filter(f"water AND gx > 0 AND gy > 0 AND gx < {SIDE - 1} AND gy < {SIDE - 1}")
     shore = F.lit(False)
     bare = F.lit(False)
     for d in "wens":
@@ -657,11 +649,8 @@ def exposed_shore(spark, sf_dir):
 @query
 def ring_profile(spark, sf_dir):
     """Mean height by chessboard distance 0..4 from cells of a rare height."""
-    c = cells(spark, sf_dir)
-    near = c.withColumn("ring", F.lit(None).cast("int"))
-    for k in (4, 3, 2, 1, 0):
-        near = raster.halo(near, F.col("h") % 50 == 49, k).withColumn("ring", F.when(F.col("near"), k).otherwise(F.col("ring"))).drop("near")
-    return near.filter("ring IS NOT NULL").groupBy("map", "ring").agg(F.count(F.lit(1)).alias("n"), F.sum("h").alias("total"))
+    near = fields.rings(cells(spark, sf_dir).withColumn("m", F.col("h") % 50 == 49), "m", 4)
+    return near.groupBy("map", F.col("ring").cast("int").alias("ring")).agg(F.count(F.lit(1)).alias("n"), F.sum("h").alias("total"))
 
 
 @query
@@ -701,10 +690,11 @@ def walkable_rock(spark, sf_dir):
 @query
 def spawn_zone_audit(spark, sf_dir):
     """Walkable share of the zone around each supplier's square; zones outside; empty ones."""
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", ((F.col("s_suppkey") * 7) % 70).cast("int").alias("cx"), ((F.col("s_suppkey") * 13) % 70).cast("int").alias("cy"))
+    name = F.element_at(F.array(F.lit("A"), F.lit("N"), F.lit("R")), (F.col("s_suppkey") % 3 + 1).cast("int"))
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", name.alias("map"), ((F.col("s_suppkey") * 7) % 70).cast("int").alias("cx"), ((F.col("s_suppkey") * 13) % 70).cast("int").alias("cy"))
     span = lambda k: F.sequence(F.col(k) - 2, F.col(k) + 2)
-    zone = s.select("s_suppkey", F.explode(span("cx")).alias("gx"), "cy").select("s_suppkey", "gx", F.explode(span("cy")).alias("gy"))
-    met = zone.join(grid(spark, sf_dir).filter("map = 'A'").select("gx", "gy", "block"), ["gx", "gy"], "left").groupBy("s_suppkey").agg(F.count("block").alias("inside"), F.count_if(~F.col("block")).alias("free"))
+    zone = s.select("s_suppkey", "map", F.explode(span("cx")).alias("gx"), "cy").select("s_suppkey", "map", "gx", F.explode(span("cy")).alias("gy"))
+    met = zone.join(grid(spark, sf_dir).select("map", "gx", "gy", "block"), ["map", "gx", "gy"], "left").groupBy("s_suppkey").agg(F.count("block").alias("inside"), F.count_if(~F.col("block")).alias("free"))
     kind = F.when(F.col("inside") < 25, "outside").when(F.col("free") < 0.6 * F.col("inside"), "blocked").otherwise("fine")
     return met.groupBy(kind.alias("finding")).agg(F.count(F.lit(1)).alias("zones"))
 
@@ -713,7 +703,7 @@ def spawn_zone_audit(spark, sf_dir):
 def sector_blocks(spark, sf_dir):
     """Sectors that hang together over borders whose median step is at most sixty."""
     m = borders(spark, sf_dir).groupBy("map", "axis", "sx", "sy").agg(F.percentile("d", F.lit(0.5)).alias("median")).filter("median <= 60")
-    side = 64 // SECTOR
+    side = SIDE // SECTOR
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         block = list(range(side * side))
@@ -731,6 +721,6 @@ def sector_blocks(spark, sf_dir):
 def filled_holes(spark, sf_dir):
     """A mask with its holes: the complement's components that do not touch the border."""
     dry = cells(spark, sf_dir).select("map", "gx", "gy", (F.col("h") % 3 == 0).alias("m"))
-    c = graph.components(dry, "m").withColumn("edge", ((F.col("gx") == 0) | (F.col("gy") == 0) | (F.col("gx") == 63) | (F.col("gy") == 63)).cast("int"))
+    c = graph.components(dry, "m").withColumn("edge", ((F.col("gx") == 0) | (F.col("gy") == 0) | (F.col("gx") == SIDE - 1) | (F.col("gy") == SIDE - 1)).cast("int"))
     holes = c.groupBy("map", "component").agg(F.count(F.lit(1)).alias("n"), F.max("edge").alias("edge")).filter("edge = 0")
     return holes.groupBy("map").agg(F.count(F.lit(1)).alias("holes"), F.sum("n").alias("filled"))

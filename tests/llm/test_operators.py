@@ -517,22 +517,72 @@ def test_url_graph(spark):
     assert url_graph.judge_urls(table).count() == len(rows) and url_graph.judge_urls(table.filter("false")).count() == 0
 
 
+def packed_pieces(rows: list[tuple], capacity: int) -> collections.Counter:
+    """(doc_id, piece, start, length, crc) of (doc_id, text) rows, by the library."""
+    out = collections.Counter()
+    for i, t in rows:
+        ids = [*encoded(WORD_VOCABULARY, t), 0]
+        for p, at in enumerate(range(0, len(ids), capacity)):
+            part = np.array(ids[at : at + capacity], "<u4")
+            out[i, p, at, len(part), zlib.crc32(part.tobytes())] += 1
+    return out
+
+
 def test_pipeline(spark, tmp_path):
+    """Every stage against brute force over what the stage before it kept."""
     import corpus_pipeline
 
     rows = [(i, syllables(i, 80), "en", f"s{i % 3}", 0) for i in range(60)]
     rows += [(100 + i, rows[i][1], "en", "s0", 0) for i in range(10)] + [(200 + i, near_copy(rows[i][1], i, 1), "en", "s1", 0) for i in range(20, 30)]
-    rows += [(300, None, None, None, None), (301, "123 456", "en", "s0", 7)]
+    rows += [rows[3], rows[3], (None, syllables(901, 70), "en", None, 0), (302, syllables(902, 3000), "en", "s2", 0), (300, None, None, None, None), (301, "123 456", "en", "s0", 7)]
     path = f"{tmp_path}/documents.parquet"
     table = spark.createDataFrame(rows, DOCS + ", n_chars long").withColumn("n_chars", F.coalesce(F.length("text"), "n_chars").cast("long"))
+    table = table.withColumn("_row", F.lit(1)).withColumn("sig", F.lit("x"))  # names that stages use inside
     table.write.parquet(path)
     docs = spark.read.parquet(path)
-    kept = {}
+    columns, kept = docs.columns, {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = spark.createDataFrame(stage(spark, docs, str(tmp_path)).collect(), docs.schema)
-        kept[name] = [r["doc_id"] for r in docs.select("doc_id").collect()]
-    assert sorted(kept["language"]) == sorted(r[0] for r in rows[:-2])
-    assert sorted(kept["exact_copies"]) == [*range(10, 60), *range(100, 110), *range(200 + 20, 200 + 30)]
-    assert sorted(kept["near_copies"]) == [*range(10, 60), *range(100, 110)]
-    assert set(kept["mix"]) <= set(kept["near_copies"])
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() >= len(kept["mix"])
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == columns
+        if name == "mix":  # rows are named by id and text there
+            named = docs.withColumn("key", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.sha2(F.col("text").cast("binary"), 256)))
+            plan = {r["key"]: r for r in mixing.mix_sources(named, "key").collect()}
+            sources = {r["source"]: int(r["target"]) for r in mixing.mix_sources(docs).join(docs.select("doc_id", "source"), "doc_id").collect()}
+        docs = spark.createDataFrame(out.collect(), docs.schema)
+        kept[name] = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in docs.collect()]
+    key = lambda x: (str(x[0]), x[1])
+    assert sorted(kept["language"], key=key) == sorted((r[:4] for r in rows[:-2]), key=key)  # two have no letter
+    groups = collections.defaultdict(list)
+    for r in kept["language"]:
+        groups[r[1]].append(r[0])
+    last = {t: max((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
+    assert sorted(((r[0], r[1]) for r in kept["exact_copies"]), key=key) == sorted(((i, t) for t, i in last.items()), key=key)
+    stay = {(i, t) for (i, t, *_), (_, _, c) in zip(kept["exact_copies"], brute_components(kept["exact_copies"]), strict=True) if i == c}
+    assert {(r[0], r[1]) for r in kept["near_copies"]} == stay and len(kept["near_copies"]) == len(stay) < len(kept["exact_copies"])
+    want = collections.Counter()
+    for i, t, *_ in kept["near_copies"]:
+        own = plan[f"{'' if i is None else i}:{hashlib.sha256(t.encode()).hexdigest()}"]
+        size, taken = own["size"], own["taken"]
+        want[i, t] += taken // size
+        if taken % size:
+            want[i, re.match(rf"(?:\s*\S+){{{taken % size}}}", t)[0]] += 1
+    assert collections.Counter((r[0], r[1]) for r in kept["mix"]) == +want
+    words = collections.Counter()
+    for _, t, _, source in kept["mix"]:
+        words[source] += len(WORDS.findall(t))
+    assert {k: words[k] for k in sources} == sources  # each source's words are its target's floor
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert collections.Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in pieces) == packed_pieces([(r[0], r[1]) for r in kept["mix"]], 2048)
+    bins = collections.Counter()
+    for r in pieces:
+        bins[r["sequence_id"]] += r["length"]
+    assert max(bins.values()) <= 2048 and corpus_pipeline.run(spark, str(tmp_path)).count() == len(pieces)
+
+
+def test_pipeline_stages_on_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    none = spark.createDataFrame([], DOCS + ", n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, none, str(tmp_path))
+        assert out.count() == 0 and (name == "pack" or out.columns == none.columns)

@@ -334,3 +334,39 @@ def turned_frames(spark, sf_dir):
 SQL["turned_frames"] = """
     WITH p AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, radians((vec_id % 360)::DOUBLE) AS a, greatest(0.0::DOUBLE, least(1.0::DOUBLE, embedding[1]::DOUBLE * 4)) AS u FROM embeddings)
     SELECT id, round(x * cos(a) + y * sin(a), 7) AS x, round(y * cos(a) - x * sin(a), 7) AS y, round(u * u * (3 - 2 * u), 7) AS share FROM p"""
+
+
+@query
+def layer_problems(spark, sf_dir):
+    """Placement files, palettes, water layers and property records against their rules, a row a problem."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 4).alias("declared"), (F.col("o_custkey") % 4).alias("blocks"), (F.col("o_orderkey") % 50 != 0).alias("headed"))
+    area = scalar.problems((~F.col("headed"), "missing header key"), (F.col("declared") != F.col("blocks"), F.concat_ws(" ", F.lit("count"), "declared", F.lit("but"), "blocks")), (F.col("blocks") > F.col("declared"), F.concat_ws(" ", F.col("blocks") - F.col("declared"), F.lit("never loaded"))))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 300).alias("slots"), F.array_compact(F.array(*[F.when((F.col("c_custkey") + i) % 3 != 0, F.lit(i)) for i in range(1, 5)])).alias("filled"))
+    empty = F.array_except(F.array(*[F.lit(i) for i in range(1, 5)]), F.col("filled"))
+    palette = scalar.problems((F.size(empty) > 0, F.concat(F.lit("empty slots "), F.array_join(empty, ","))), (F.col("slots") > 254, F.concat_ws(" ", "slots", F.lit("above the usable slots"))))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 5).alias("layers"), F.array_distinct(F.array(F.col("s_suppkey") % 7, F.col("s_suppkey") % 3, F.lit(255))).alias("used"))
+    dangling = F.filter("used", lambda v: (v != 255) & (v >= F.col("layers")))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.element_at(F.array(F.lit("Tree"), F.lit("Building"), F.lit("Effect"), F.lit("Odd")), (F.col("p_size") % 4 + 1).cast("int")).alias("kind"), F.when(F.col("p_partkey") % 3 == 0, F.array(F.lit("treefile"), F.lit("name"))).otherwise(F.array(F.lit("buildingfile"), F.lit("name"))).alias("keys"))
+    needs = F.when(F.col("kind") == "Tree", "treefile").when(F.col("kind") == "Building", "buildingfile").otherwise("effectfile")
+    lacks = (F.col("kind") != "Odd") & ~F.array_contains(F.col("keys"), needs)
+    extra = F.array_except(F.col("keys"), F.array(F.lit("name"), needs))
+    record = scalar.problems((F.col("kind") == "Odd", "unknown type Odd"), (lacks, F.concat(F.lit("missing key "), needs)), ((F.col("kind") != "Odd") & (F.size(extra) > 0), F.concat(F.lit("unexpected key "), F.array_join(extra, ","))))
+    rows = lambda d, layer, found: d.select(F.lit(layer).alias("layer"), "id", F.explode(found).alias("problem"))
+    return rows(o, "area", area).unionAll(rows(c, "palette", palette)).unionAll(rows(s, "water", F.transform(dangling, lambda v: F.concat_ws(" ", F.lit("value"), v, F.lit("of"), F.col("layers"))))).unionAll(rows(p, "property", record))
+
+
+SQL["layer_problems"] = """
+    WITH o AS (SELECT o_orderkey AS id, o_orderkey % 4 AS d, o_custkey % 4 AS b, o_orderkey % 50 <> 0 AS headed FROM orders),
+    c AS (SELECT c_custkey AS id, c_custkey % 300 AS slots, list_filter([1, 2, 3, 4], lambda i: (c_custkey + i) % 3 = 0) AS empty FROM customer),
+    s AS (SELECT s_suppkey AS id, s_suppkey % 5 AS layers, unnest(list_distinct([s_suppkey % 7, s_suppkey % 3])) AS v FROM supplier),
+    p AS (SELECT p_partkey AS id, ['Tree', 'Building', 'Effect', 'Odd'][p_size % 4 + 1] AS kind, CASE WHEN p_partkey % 3 = 0 THEN 'treefile' ELSE 'buildingfile' END AS has FROM part),
+    q AS (SELECT *, CASE kind WHEN 'Tree' THEN 'treefile' WHEN 'Building' THEN 'buildingfile' ELSE 'effectfile' END AS needs FROM p)
+    SELECT 'area' AS layer, id, 'missing header key' AS problem FROM o WHERE NOT headed
+    UNION ALL SELECT 'area', id, 'count ' || d || ' but ' || b FROM o WHERE d <> b
+    UNION ALL SELECT 'area', id, (b - d) || ' never loaded' FROM o WHERE b > d
+    UNION ALL SELECT 'palette', id, 'empty slots ' || array_to_string(empty, ',') FROM c WHERE len(empty) > 0
+    UNION ALL SELECT 'palette', id, slots || ' above the usable slots' FROM c WHERE slots > 254
+    UNION ALL SELECT 'water', id, 'value ' || v || ' of ' || layers FROM s WHERE v >= layers
+    UNION ALL SELECT 'property', id, 'unknown type Odd' FROM q WHERE kind = 'Odd'
+    UNION ALL SELECT 'property', id, 'missing key ' || needs FROM q WHERE kind <> 'Odd' AND has <> needs
+    UNION ALL SELECT 'property', id, 'unexpected key ' || has FROM q WHERE kind <> 'Odd' AND has <> needs"""

@@ -97,3 +97,54 @@ def test_world_source(spark, tmp_path):
     records.repartition("map", "sx", "sy").write.format("world").option("layer", "placements").mode("append").save(str(tmp_path))
     back = spark.read.format("world").option("layer", "placements").option("map", "m1").load(str(tmp_path))
     assert sorted(map(str, back.filter("sx = 1").collect())) == sorted(map(str, records.collect()))
+
+
+def test_block_images():
+    from gridloom.sources import images
+
+    rng = np.random.default_rng(5)
+    two = np.array([[200, 40, 90, 255], [16, 120, 240, 255]], np.uint8)
+    picture = two[rng.integers(0, 2, (16, 12))]
+    back = codecs.read_dds(images.write_dds(picture))
+    assert back.shape == picture.shape and np.abs(back.astype(int) - picture).max() <= 8  # two colours: the ends
+    smooth = np.zeros((9, 7, 4), np.uint8)
+    smooth[..., 0], smooth[..., 3] = np.linspace(0, 255, 63).reshape(9, 7), 255
+    assert np.abs(codecs.read_dds(images.write_dds(smooth)).astype(int) - smooth).mean() < 12
+    clear = picture.copy()
+    clear[0, 0, 3] = 0
+    assert codecs.read_dds(images.write_dds(clear))[0, 0, 3] == 0
+    stored = images.read_levels(images.write_dds(picture, mips=True))
+    assert [x.shape[:2] for x in stored] == [x.shape[:2] for x in images.levels(picture)] and stored[-1].shape == (1, 1, 4)
+    tile = images.Overview.read(images.write_dds(picture))
+    assert tile.pixels.shape == (16, 12, 4) and tile.bounds(2, 1) == (51_200, 25_600, 76_800, 51_200)
+
+
+def test_property_registry(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from gridloom.sources import registry
+
+    (tmp_path / "b" / "c").mkdir(parents=True)
+    (tmp_path / "a.prt").write_bytes(b'YPRT\r\n11\r\nname\t"old"\r\n')
+    (tmp_path / "b" / "c" / "z.prb").write_bytes(b'YPRT\r\n11\r\nname\t"new"\r\n')
+    (tmp_path / "b" / "other.prt").write_bytes(b'YPRT\r\n12\r\nname\t"x"\r\n')
+    (tmp_path / "b" / "bad.prt").write_bytes(b"junk")
+    scanned = registry.scan_properties(spark, str(tmp_path))
+    assert scanned.count() == 4 and scanned.filter("problem IS NOT NULL").count() == 1
+    assert {r["crc"]: r["values"]["name"] for r in registry.registry(scanned).collect()} == {11: ["new"], 12: ["x"]}
+    names = spark.createDataFrame([("plain",), ("공용".encode("cp949").decode("latin-1"),), ("é",), (None,)], "n string")
+    assert [r[0] for r in names.select(registry.repaired(F.col("n"))).collect()] == ["plain", "공용", "é", None]
+
+
+def test_folders(tmp_path):
+    from gridloom import config
+
+    file = tmp_path / "folders.json"
+    file.write_text('{"worlds": "/file", "models": "/models"}')
+    got = config.folders(file, {"GRIDLOOM_WORLDS": "/env"}, {"output": "/out", "models": "/default"})
+    assert got == {"worlds": "/env", "models": "/models", "output": "/out"}
+    with pytest.raises(KeyError):
+        config.required("palettes", got)
+    file.write_text('{"wrlds": "/x"}')
+    with pytest.raises(ValueError):
+        config.folders(file, {})

@@ -365,3 +365,32 @@ def opaque_slots(cell: DataFrame, slots: int) -> DataFrame:
     on = lambda s: (F.col("t") == s) | ((F.col("t") > s) & (F.col("near").bitwiseAND(1 << s) != 0))
     n = near.groupBy("map").agg(*[F.count_if(on(s)).alias(f"s{s}") for s in range(1, slots + 1)])
     return n.select("map", F.explode(F.array(*[F.struct(F.lit(s).alias("slot"), F.col(f"s{s}").alias("opaque")) for s in range(1, slots + 1)])).alias("x")).select("map", "x.slot", "x.opaque")
+
+
+def euclid(cell: DataFrame, mask: str, most: int) -> DataFrame:
+    """Squared Euclidean distance to the mask within ``most``, exact, in two separable steps.
+
+    Along columns the nearest set cell, by running positions; then along rows the least of
+    dx^2 + dy^2 over the cells within reach.
+    """
+    far, w = F.lit(10**6), raster.along_column()
+    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    set_at = F.when(F.col(mask), F.col("gy"))
+    dy = F.least(F.coalesce(F.col("gy") - F.max(set_at).over(back), far), F.coalesce(F.min(set_at).over(ahead) - F.col("gy"), far))
+    near = cell.select("map", "gx", "gy", dy.alias("dy")).filter(F.col("dy") <= most)
+    spread = near.withColumn("dx", F.explode(F.sequence(F.lit(-most), F.lit(most)))).select("map", (F.col("gx") + F.col("dx")).alias("gx"), "gy", (F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")).alias("d2"))
+    least = spread.filter(F.col("d2") <= most * most).groupBy("map", "gx", "gy").agg(F.min("d2").alias("d2"))
+    return cell.join(least, ["map", "gx", "gy"], "left").withColumn("d2", F.coalesce("d2", F.lit(most * most)))
+
+
+def resampled(points: DataFrame, key: str, order: str, step: float) -> DataFrame:
+    """(key, k, x, y): a polyline at every ``step`` of its arc length."""
+    w = Window.partitionBy(key).orderBy(order)
+    s = points.withColumns({"nx": F.lead("x").over(w), "ny": F.lead("y").over(w)}).filter("nx IS NOT NULL")
+    dx, dy = F.col("nx") - F.col("x"), F.col("ny") - F.col("y")
+    s = s.withColumn("length", F.sqrt(dx * dx + dy * dy)).withColumn("after", F.sum("length").over(w)).filter("length > 0")
+    before = F.col("after") - F.col("length")
+    first, last = F.ceil(before / step), F.ceil(F.col("after") / step) - 1
+    k = s.withColumn("before", before).filter(first <= last).withColumn("k", F.explode(F.sequence(first, last)))
+    t = (F.col("k") * step - F.col("before")) / F.col("length")
+    return k.select(key, "k", (F.col("x") + (F.col("nx") - F.col("x")) * t).alias("x"), (F.col("y") + (F.col("ny") - F.col("y")) * t).alias("y"))

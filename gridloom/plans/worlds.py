@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import scalar
-from gridloom.operators import fields, generate, graph, raster
+from gridloom.operators import fields, generate, graph, raster, stages
 from gridloom.plans.assembly import VERTEX, vertices
 from gridloom.plans.fields import LINE, segment_sql
 from gridloom.plans.oracles import COMPONENTS, SLOPE
@@ -477,3 +477,54 @@ def generation_stats(spark, sf_dir):
 
 SQL["generation_stats"] = f"""
     WITH {CELL}, {SLOPE} SELECT map, avg((slope < 5)::INTEGER) AS flat, quantile_cont(h, 0.05) AS p5, quantile_cont(h, 0.95) AS p95, avg((t > 0)::INTEGER) AS painted, avg(block::INTEGER) AS blocked FROM slope GROUP BY map"""
+
+
+@query
+def staged_build(spark, sf_dir):
+    """Layout, terrain, water, texture and flags, each stage from the ones before it."""
+    steps = [
+        ("layout", lambda s, t: cells(s, sf_dir).select("map", "gx", "gy", "h", "t")),
+        ("terrain", lambda s, t: generate.plateau(t["layout"], 0.3)),
+        ("water", lambda s, t: t["terrain"].select("map", "gx", "gy", (F.col("h") < 60).alias("wet"))),
+        ("texture", lambda s, t: t["terrain"].select("map", "gx", "gy", F.when(F.col("flat"), 1).otherwise(2 + F.floor(F.col("h") / 100)).alias("slot"))),
+        ("flags", lambda s, t: t["texture"].join(t["water"], ["map", "gx", "gy"]).withColumn("attr", F.when(F.col("wet"), 2).when(F.col("slot") > 2, 1).otherwise(0))),
+    ]
+    return stages.build(spark, steps)["flags"].groupBy("map", "slot", "attr").agg(n_rows().alias("n"))
+
+
+SQL["staged_build"] = f"""
+    WITH {CELL}, q AS (SELECT map, quantile_disc(h, 0.7) AS q FROM cell GROUP BY map),
+    g AS (SELECT map, least(h, q) AS g, h >= q AS flat FROM cell JOIN q USING (map)),
+    s AS (SELECT map, CASE WHEN flat THEN 1 ELSE 2 + g // 100 END AS slot, g < 60 AS wet FROM g)
+    SELECT map, slot, CASE WHEN wet THEN 2 WHEN slot > 2 THEN 1 ELSE 0 END AS attr, count(*) AS n FROM s GROUP BY ALL"""
+
+
+@query
+def euclid_rings(spark, sf_dir):
+    """Exact Euclidean distance to high ground, by whole rings, at most eight cells."""
+    d = fields.euclid(cells(spark, sf_dir).select("map", "gx", "gy", (F.col("h") > 230).alias("m")), "m", 8)
+    return d.groupBy("map", F.floor(F.sqrt("d2")).alias("ring")).agg(n_rows().alias("n"), F.sum("d2").alias("d2"))
+
+
+SQL["euclid_rings"] = f"""
+    WITH {CELL}, s AS (SELECT map, gx, gy FROM cell WHERE h > 230),
+    d AS (SELECT c.map, c.gx, c.gy, coalesce(min((c.gx - s.gx) * (c.gx - s.gx) + (c.gy - s.gy) * (c.gy - s.gy)), 64) AS d2 FROM cell c
+          LEFT JOIN s ON c.map = s.map AND (c.gx - s.gx) * (c.gx - s.gx) + (c.gy - s.gy) * (c.gy - s.gy) <= 64 GROUP BY ALL)
+    SELECT map, floor(sqrt(d2))::BIGINT AS ring, count(*) AS n, sum(d2)::BIGINT AS d2 FROM d GROUP BY 1, 2"""
+
+
+@query
+def polyline_resample(spark, sf_dir):
+    """Each user's path at every 25 of its length."""
+    e = table(spark, sf_dir, "events").filter("user_id % 5 = 0").select("user_id", "event_id", (F.col("event_id") * 17 % 101).cast("double").alias("x"), (F.col("event_id") * 29 % 97).cast("double").alias("y"))
+    r = fields.resampled(e, "user_id", "event_id", 25.0)
+    return r.groupBy("user_id").agg(n_rows().alias("n"), F.round(F.avg("x"), 4).alias("x"), F.round(F.avg("y"), 4).alias("y"))
+
+
+SQL["polyline_resample"] = """
+    WITH e AS (SELECT user_id, event_id, (event_id * 17 % 101)::DOUBLE AS x, (event_id * 29 % 97)::DOUBLE AS y FROM events WHERE user_id % 5 = 0),
+    s AS (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+    l AS (SELECT *, sqrt((nx - x) * (nx - x) + (ny - y) * (ny - y)) AS len FROM s WHERE nx IS NOT NULL),
+    a AS (SELECT *, sum(len) OVER (PARTITION BY user_id ORDER BY event_id) AS upto FROM l),
+    k AS (SELECT *, unnest(range(ceil((upto - len) / 25)::BIGINT, ceil(upto / 25)::BIGINT)) AS k FROM a WHERE len > 0)
+    SELECT user_id, count(*) AS n, round(avg(x + (nx - x) * (k * 25 - (upto - len)) / len), 4) AS x, round(avg(y + (ny - y) * (k * 25 - (upto - len)) / len), 4) AS y FROM k GROUP BY user_id"""

@@ -105,3 +105,21 @@ def test_streaming_counts(spark, tmp_path):
     q = tumbling_counts(stream).writeStream.format("memory").queryName("counts").outputMode("complete").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("counts").agg(F.sum("n")).first()[0] == source.count()
+
+
+def test_staged_build_with_re_entry(spark, tmp_path):
+    from gridloom.operators import stages
+
+    done = []
+
+    def step(name, table):
+        return name, lambda s, t: done.append(name) or table(s, t)
+
+    steps = [step("a", lambda s, t: s.range(5)), step("b", lambda s, t: t["a"].filter("id > 1")), step("c", lambda s, t: t["b"].selectExpr("id * 2 AS id"))]
+    assert sorted(r["id"] for r in stages.build(spark, steps, str(tmp_path))["c"].collect()) == [4, 6, 8]
+    again = stages.build(spark, steps, str(tmp_path), start="c")
+    assert again["c"].count() == 3 and done == ["a", "b", "c", "c"]
+    with pytest.raises(ValueError):
+        stages.build(spark, steps, str(tmp_path), start="x")
+    made = [stages.cached(spark, f"{tmp_path}/kept", lambda n=n: spark.range(n), rescan=n == 9).count() for n in (3, 5, 9)]
+    assert made == [3, 3, 9]

@@ -106,10 +106,14 @@ def top_k(
     queries = stored(asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(query_blocks))).groupBy("block", "dim").applyInPandas(pack, packed), "query-blocks")
 
     def units(cutoffs: DataFrame | None) -> DataFrame:
-        """Each block of rows with each block of queries: block numbers are dealt, rows never crossed."""
-        q = queries if cutoffs is None else queries.join(cutoffs.withColumnRenamed("block", "c_block").withColumnRenamed("dim", "c_dim"), (F.col("block") == F.col("c_block")) & (F.col("dim") == F.col("c_dim"))).drop("c_block", "c_dim")
+        """Each block of rows with each block of queries: block numbers are dealt, rows never crossed.
+
+        Never broadcast: Spark takes the queries' size from their compressed file, though
+        every block stands here unpacked and once for each block of rows.
+        """
+        q = queries if cutoffs is None else queries.join(cutoffs.withColumnRenamed("block", "c_block").withColumnRenamed("dim", "c_dim").hint("merge"), (F.col("block") == F.col("c_block")) & (F.col("dim") == F.col("c_dim"))).drop("c_block", "c_dim")
         q = q.withColumnsRenamed({"block": "q_block", "ids": "q_ids", "matrix": "q_matrix", "largest": "q_largest"}).withColumn("row_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(row_blocks - 1).cast("long"))))
-        return q.withColumnRenamed("dim", "q_dim").join(blocks, (F.col("row_block") == F.col("block")) & (F.col("q_dim") == F.col("dim")))
+        return q.withColumnRenamed("dim", "q_dim").join(blocks.hint("merge"), (F.col("row_block") == F.col("block")) & (F.col("q_dim") == F.col("dim")))
 
     def opened(row) -> tuple:
         dim = row.dim

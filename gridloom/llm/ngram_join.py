@@ -13,7 +13,8 @@
 3. Ties make candidate groups (connected components, no pair is ever written). The sets
    of groups far above a task's part are sketched again by themselves, where the sketch
    tells rare from common again, and grouped anew, until that no longer halves them. Each
-   group is joined exactly inside tasks; a large one as pairs of parts.
+   group is joined exactly inside tasks; a large one as pairs of parts, some distances of
+   parts at a time, so that the copies on disk stay a fixed multiple of the sets.
 4. Inside a task sets are ordered by size, so index lists are skipped to the size window
    by position, and the overlap counts of a set are derived from its similar
    predecessor's counts by the lists of the differing shingles alone.
@@ -25,6 +26,7 @@ digest, where a chance agreement adds a candidate and no link.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -329,6 +331,25 @@ def join_groups(members: DataFrame, percent: int) -> DataFrame:
     return members.groupBy("grp").applyInPandas(run, "a binary, b binary")
 
 
+def pairs_of_parts(members: DataFrame, least: int, below: int) -> DataFrame:
+    """(grp, side, sig, shingles): the pairs of parts of one group that are ``least`` to ``below`` - 1 apart.
+
+    Parts stand in a ring, so none of m is further than m / 2 from another. A set is copied
+    twice for every distance, however many parts there are; all pairs at once would copy it
+    m times.
+    """
+    apart = [sign * d for d in range(least, below) for sign in (1, -1)]
+    others = F.array_distinct(F.transform(F.filter(F.array(*map(F.lit, apart)), lambda d: 2 * F.abs(d) <= F.col("parts")), lambda d: F.pmod(F.col("part") + d, F.col("parts"))))
+    pair = F.transform(
+        others,
+        lambda o: F.struct(
+            F.concat_ws("-", F.hex("component"), F.least(o, F.col("part")), F.greatest(o, F.col("part"))).alias("grp"),
+            F.when(o == F.col("part"), -1).when(o > F.col("part"), 0).otherwise(1).alias("side"),
+        ),
+    )
+    return members.select(F.explode(pair).alias("g"), "sig", "shingles").select("g.grp", "g.side", "sig", "shingles")
+
+
 def ngram_join(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -423,26 +444,27 @@ def classes_of(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
     groups, sizes = narrowed(rows, groups, nodes_n, width, percent, part_size, hot)
     bloom = spark.sparkContext.broadcast(bloom_of(groups))
     sets = sets_among(rows, width, bloom)
-    total = sizes.agg(F.sum(F.when(F.col("shingles") <= part_size, F.col("shingles")))).first()[0] or 0
-    shelves = max(1, 2 * total // part_size)
+    small = F.col("shingles") <= part_size
+    few, many, widest = sizes.agg(F.sum(F.when(small, F.col("shingles"))), F.sum(F.when(~small, F.col("shingles"))), F.max("shingles")).first()
+    shelves = max(1, 2 * (few or 0) // part_size)
     # Small groups share a shelf; a large one is cut into parts, joined two by two. Both
     # are measured in shingles, so a task's memory does not follow the texts' lengths.
     parts = F.ceil(F.col("shingles") / F.lit(part_size)).cast("int")
     placed = groups.join(sizes.withColumnRenamed("component", "c"), F.col("component") == F.col("c")).select("node", "component", parts.alias("parts"), F.pmod(F.hash("node", F.lit(7)), parts).alias("part"))
-    shelf = F.array(F.struct(F.concat(F.lit("s"), F.pmod(F.xxhash64("component"), F.lit(shelves)).cast("string")).alias("grp"), F.lit(-1).alias("side")))
-    pair = F.transform(
-        F.sequence(F.lit(0), F.col("parts") - 1),
-        lambda o: F.struct(
-            F.concat_ws("-", F.hex("component"), F.least(o, F.col("part")), F.greatest(o, F.col("part"))).alias("grp"),
-            F.when(o == F.col("part"), -1).when(o > F.col("part"), 0).otherwise(1).alias("side"),
-        ),
-    )
-    placed = placed.select("node", F.explode(F.when(F.col("parts") == 1, shelf).otherwise(pair)).alias("g"))
-    members = sets.join(placed, F.col("own") == F.col("node")).select("g.grp", "g.side", "sig", "shingles")
     # Written first: two Python steps in one stage would double an executor's workers.
-    found = stored(join_groups(members, percent), "links")
-    links = stored(components(found), "classes")
-    for done in (found, groups, sizes):
+    members = stored(sets.join(placed, F.col("own") == F.col("node")).select("component", "parts", "part", "sig", "shingles"), "members")
+    shelf = F.concat(F.lit("s"), F.pmod(F.xxhash64("component"), F.lit(shelves)).cast("string"))
+    found = [stored(join_groups(members.filter("parts = 1").select(shelf.alias("grp"), F.lit(-1).alias("side"), "sig", "shingles"), percent), "links")]
+    if many:
+        large = stored(members.filter("parts > 1"), "large-members")
+        dropped(members)
+        members = large
+        step = max(1, (few or 0) // (2 * many))
+        for least in range(0, -(-widest // part_size) // 2 + 1, step):
+            found.append(stored(join_groups(pairs_of_parts(large, least, least + step), percent), "links"))
+    dropped(members)
+    links = stored(components(functools.reduce(DataFrame.unionAll, found)), "classes")
+    for done in (*found, groups, sizes):
         dropped(done)
 
     classes = named.join(links, F.col("sig") == F.col("node"), "left").select("sig", "least", F.coalesce("component", "sig").alias("class"))
@@ -462,8 +484,12 @@ def distinct_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
       nulls in them included, come through as they are.
     """
     judged = classes_of(docs, id_col, text_col, width, percent, part_size, hot).filter("chosen")
-    stay = judged.select(F.col("id").alias("_s_id"), F.col("mark").alias("_s_mark"), F.col("sig").isNotNull().alias("_worded")).distinct()
+    again = F.first("sig").isNotNull() & (F.count(F.lit(1)) > 1)
+    stay = stored(judged.groupBy(F.col("id").alias("_s_id"), F.col("mark").alias("_s_mark")).agg(again.alias("_again")), "stay")
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[id_col].cast("long").alias("_id"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("_mark"))
     kept = rows.join(stay, F.col("_id").eqNullSafe(F.col("_s_id")) & (F.col("_mark") == F.col("_s_mark")))
-    worded = kept.filter("_worded").dropDuplicates(["_id", "_mark"])
-    return worded.unionAll(kept.filter("NOT _worded")).select("_row.*")
+    if stay.filter("_again").isEmpty():
+        return kept.select("_row.*")
+    # Only rows that repeat id and text are sent a second time, to leave one of them.
+    once = kept.filter("_again").dropDuplicates(["_id", "_mark"])
+    return once.unionAll(kept.filter("NOT _again")).select("_row.*")

@@ -11,8 +11,9 @@
    furthest, if that reaches its size, and to none of the others. Lists of common shingles
    are salted and their runs stitched from (low, reach) summaries.
 3. Ties make candidate groups (connected components, no pair is ever written). The sets
-   of groups far above a task's part are sketched again by themselves, where the sketch
-   tells rare from common again, and grouped anew, until that no longer halves them. Each
+   of groups far above a task's part are grouped anew by themselves, by the exact counts
+   of their shingles among them, until that no longer halves them: what only one of these
+   sets has is first in its order and ties nothing, however full the sketch was. Each
    group is joined exactly inside tasks; a large one as pairs of parts, some distances of
    parts at a time, so that the copies on disk stay a fixed multiple of the sets.
 4. Inside a task sets are ordered by size, so index lists are skipped to the size window
@@ -38,13 +39,15 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import dropped, fan_out, stored, text_of
 from gridloom.llm.components import Forest, components
-from gridloom.llm.shingles import shingle_sets
+from gridloom.llm.shingles import mix, shingle_sets
 
 SKETCH_BITS = 22
 PIECE = 1 << 14
 BLOOM_BITS = 26
-#: Groups of so many parts are sketched again; below, joining pairs of parts costs little.
+#: Groups of so many parts are tied again; below, joining pairs of parts costs little.
 LARGE = 4
+#: Shingles whose counts one task takes at a time.
+COUNTED = 1_000_000
 
 
 def digest(own: np.ndarray) -> bytes:
@@ -224,6 +227,84 @@ def prefixes(docs: DataFrame, width: int, percent: int, sketch, hot: int) -> Dat
     return docs.mapInPandas(run, "node long, n int, shingles array<long>, reach array<int>, parts array<int>")
 
 
+def exact_prefixes(sets: DataFrame, percent: int, sketch, hot: int, held: int) -> DataFrame:
+    """As ``prefixes``, of stored sets (own, shingles), in the order of exact counts.
+
+    Shingles are dealt by their value and counted; those of two sets at least come back to
+    their sets. The sketch never counts too few: what it has once is not sent, and what
+    stands out in it by ``hot`` is not sent either but stays, as the most common, with the
+    sketch's count, so that no task gets more than that of one shingle.
+
+    held: about how many shingles the sets have.
+    """
+    spark = sets.sparkSession
+    slices = max(4 * fan_out(spark), -(-held // COUNTED))
+    load = float(sketch.value.mean(dtype="float64"))
+    usual = int(load + 6 * load**0.5)
+
+    def flat(batch: pd.DataFrame) -> tuple[np.ndarray, ...]:
+        own = [np.frombuffer(x, np.uint64) for x in batch["shingles"]]
+        n = np.array([len(x) for x in own], np.int32)
+        shingle = np.concatenate(own)
+        return np.repeat(batch["own"].to_numpy(np.int64), n), np.repeat(n, n), shingle, sketch.value[sketch_places(shingle)].astype(np.int64)
+
+    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def packed() -> pd.DataFrame:
+            node, n, shingle = (np.concatenate(x) for x in zip(*kept, strict=True))
+            at = (mix(shingle) % np.uint64(slices)).astype(np.int32)
+            order = np.argsort(at, kind="stable")
+            at, cuts = np.unique(at[order], return_index=True)
+            return pd.DataFrame({"slice": at} | {name: [x.tobytes() for x in np.split(values[order], cuts[1:])] for name, values in (("node", node), ("n", n), ("shingle", shingle))})
+
+        kept, size = [], 0
+        for batch in batches:
+            for i in range(0, len(batch), 1000):
+                node, n, shingle, common = flat(batch.iloc[i : i + 1000])
+                sent = (common > 1) & (common <= usual + hot)
+                if sent.any():
+                    kept.append((node[sent], n[sent], shingle[sent]))
+                    size += int(sent.sum())
+                if size > 2_000_000:
+                    yield packed()
+                    kept, size = [], 0
+        if kept:
+            yield packed()
+
+    def counted(group: pd.DataFrame) -> pd.DataFrame:
+        node, n, shingle = (np.frombuffer(b"".join(group[name]), kind) for name, kind in (("node", np.int64), ("n", np.int32), ("shingle", np.uint64)))
+        order = np.lexsort((n, node, shingle))
+        node, n, shingle = node[order], n[order], shingle[order]
+        other = np.append(True, shingle[1:] != shingle[:-1])
+        once = other | np.append(True, (node[1:] != node[:-1]) | (n[1:] != n[:-1]))  # a set may be there several times
+        node, n, shingle = node[once], n[once], shingle[once]
+        which = np.cumsum(other[once]) - 1
+        times = np.bincount(which)[which]
+        met = times > 1
+        return pd.DataFrame({"node": node[met], "n": n[met], "shingle": shingle[met].view(np.int64), "times": times[met]})
+
+    def common_ones(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in range(0, len(batch), 1000):
+                node, n, shingle, common = flat(batch.iloc[i : i + 1000])
+                far = common > usual + hot
+                yield pd.DataFrame({"node": node[far], "n": n[far], "shingle": shingle[far].view(np.int64), "times": common[far]})
+
+    found = "node long, n int, shingle long, times long"
+    counts = sets.mapInPandas(dealt, "slice int, node binary, n binary, shingle binary").groupBy("slice").applyInPandas(counted, found)
+    met = counts.unionAll(sets.mapInPandas(common_ones, found)).groupBy("node", "n").agg(F.array_sort(F.collect_set(F.struct("times", "shingle"))).alias("met"))
+    # Those that no other set has come first, so a set with enough of them has no entry.
+    alone = F.col("n") - F.size("met")
+    entries = F.expr(f"n - ceil({percent} * n / 100) + 1").cast("int") - alone
+    first = met.withColumn("alone", alone).withColumn("entries", entries).filter("entries > 0").withColumn("first", F.expr("slice(met, 1, entries)"))
+    return first.select(
+        "node",
+        "n",
+        F.expr("transform(first, x -> x.shingle)").alias("shingles"),
+        F.expr(f"transform(first, (x, i) -> CAST((n - alone - i) * {100 + percent} div {percent} - n AS INT))").alias("reach"),
+        F.expr(f"transform(first, x -> CAST(1 + greatest(0, x.times - {usual}) div {hot} AS INT))").alias("parts"),
+    )
+
+
 def candidate_edges(prefix: DataFrame, percent: int) -> DataFrame:
     """(a, b): ties between sets that meet in some index list, within each other's reach.
 
@@ -374,11 +455,11 @@ def ngram_join(
 
 
 def narrowed(rows: DataFrame, groups: DataFrame, nodes_n: DataFrame, width: int, percent: int, part_size: int, hot: int) -> tuple[DataFrame, DataFrame]:
-    """(groups, sizes) with the large groups cut down: their sets are sketched and tied again.
+    """(groups, sizes) with the large groups cut down: their sets are counted and tied again.
 
-    Links stay inside groups, so the sets of the large ones are a corpus of their own: a
-    sketch of them alone is less loaded, its order tells common passages from rare ones,
-    and what met in no other large set drops out. Repeated while that halves them.
+    Links stay inside groups, so the sets of the large ones are a corpus of their own: the
+    exact counts in them alone tell common passages from rare ones, and what met in no
+    other large set drops out. Repeated while that halves them.
 
     nodes_n: (s, n), the size of every set by its node.
     """
@@ -408,7 +489,7 @@ def narrowed(rows: DataFrame, groups: DataFrame, nodes_n: DataFrame, width: int,
             dropped(source)
         source = sets
         sketch = spark.sparkContext.broadcast(resketched(sets))
-        edges = candidate_edges(prefixes(sets, width, percent, sketch, hot), percent)
+        edges = candidate_edges(exact_prefixes(sets, percent, sketch, hot, held), percent)
         groups = stored(components(edges), "groups")
         dropped(edges)
         sketch.unpersist()
